@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import token_counts
+from gridloom.llm import bpe, language, mixing, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op5_bpe": bpe.query,
+    "op7_language": language.query,
+    "op8_toxicity": toxicity.query,
+    "op10_mixing": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
