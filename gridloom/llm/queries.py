@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, language, mixing, token_counts, toxicity
+from gridloom.llm import additive_quantisation, bpe, exact_topk, html_text, language, mixing, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_nearest": additive_quantisation.query,
     "op5_bpe": bpe.query,
+    "op6_html_text": html_text.query,
     "op7_language": language.query,
     "op8_toxicity": toxicity.query,
+    "op9_exact_topk": exact_topk.query,
     "op10_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_exact_topk": exact_topk.SQL,
+}
