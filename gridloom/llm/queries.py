@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import additive_quantisation, bpe, exact_topk, html_text, jaccard, language, mixing, token_counts, toxicity
+from gridloom.llm import additive_quantisation, bpe, exact_topk, html_text, jaccard, language, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_nearest": additive_quantisation.query,
+    "op3_sharding": sharding.query,
     "op4_jaccard": jaccard.query,
     "op5_bpe": bpe.query,
     "op6_html_text": html_text.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_sharding": sharding.SQL,
     "op4_jaccard": jaccard.SQL,
     "op9_exact_topk": exact_topk.SQL,
 }
