@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, jaccard, language, mixing, toxicity
-from gridloom.llm.common import scratch_path, table
+from gridloom.llm.common import scratch_path, table, written
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -33,14 +33,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each component the document with the smallest id stays (one row of it, if rows repeat)."""
-    found = jaccard.similar_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = found.filter("component_id is not null and n_shingles > 0 and component_id <> doc_id").select("doc_id")
-    rows = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    if rows.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.select(*docs.columns).distinct()
+    """Operator 4: of each component the document with the smallest id stays.
+
+    Where ids are null or repeat, rows get numbers of their own, and the first row of each component stays."""
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        key = "_row"
+        rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.similar_components(rows, NEAR_WORDS, NEAR_PERCENT, id_col=key)
+    gone = found.filter("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
