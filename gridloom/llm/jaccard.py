@@ -9,18 +9,21 @@ found by exact overlaps of the words themselves, or follow from such overlaps by
 2. Shingles are ordered from rare to frequent by a fixed-size table of counts over the whole corpus
    (ties by hash). Two sets that link share at least ``LEAST`` shingles among the first
    ``n - ceil(t * n) + LEAST`` of each; those are posted, and a posted shingle's sets are its list.
-3. Each set is compared exactly with one leader: the smallest set of most of its lists. The number
-   of comparisons is at most the number of sets, however long the lists are.
-4. Lists whose sets are not all connected yet are walked by blocks of equal size, position,
-   component and leader overlap (index-level skipping). A pair of blocks is skipped as a whole when
-   sizes or positions leave too little room, or when the overlaps with a common leader L, which are
-   known, leave too little: ``|A & B| <= min(|A & L|, |B & L|) + min(|A - L|, |B - L|)``. It is
-   linked as a whole, without looking at the sets, when ``|A & L| + |B & L| - |L|`` is enough
-   (answer-level skipping). Long lists are dealt to many tasks as pairs of bounded chunks.
-5. The pairs that are left, and appear in at least ``LEAST`` lists, are compared exactly.
-
-Shingles are identified by 64-bit hashes in the steps that find candidates and set sizes; overlaps
-are counted on the words.
+3. Each set is compared exactly with a leader: the smallest set of most of its lists, or of its
+   longest ones, and then that set's own leader if it is close enough. The number of comparisons is
+   at most three times the number of sets, however long the lists are. What a close set lacks of its leader L and has beyond it is kept.
+4. Answer-level skipping: overlaps of any two sets of one leader follow from these differences,
+   ``|A & B| = |L| - |(L - A) | (L - B)| + |(A - L) & (B - L)|``, without their other elements.
+   Sets of a leader are dealt in pairs of bounded chunks; in each pair of chunks the overlaps are
+   two matrix products, and of the links a spanning forest is kept.
+5. Index-level skipping: lists whose sets are not all connected yet are walked by blocks of equal
+   size, position, component and leader; pairs of blocks whose sizes or positions leave too little
+   room, or whose answers are known from 4, are skipped as a whole. Long lists are dealt to many
+   tasks as pairs of bounded chunks. Pairs that are left, and appear in at least ``LEAST`` lists,
+   are compared exactly.
+
+Shingles are identified by 64-bit hashes in the steps that find candidates, set sizes and
+differences; overlaps of compared pairs are counted on the words.
 
 Defined results: a null text or one without words is the empty set: size 0, linked with nothing; a
 text of fewer words than a shingle has is one shingle; repeated rows give one result row each and
@@ -46,8 +49,14 @@ LEAST = 3
 COUNT_BITS, SLICES = 18, 64
 #: Tasks whose tables are combined at once.
 TASKS = 512
-#: Rows of a list that meet in one task; comparisons with a leader in one group.
-CHUNK, GROUP = 4096, 64
+#: Rows of a list, and sets of a leader, of which two lots meet in one task; comparisons with a leader in one group.
+CHUNK, LEADER_CHUNK, GROUP = 4096, 1536, 64
+#: Similarity in percent from which a set's differences with its leader are kept.
+CLOSE = 50
+#: Rows from which a list counts as long: a set in one always gets a leader.
+LONG = 16
+#: Columns of the matrices that are multiplied at once.
+COLUMNS = 2048
 #: Bits of the table that tells which texts a comparison needs.
 WANTED_BITS = 23
 CACHE_WORDS = 400_000
@@ -191,30 +200,39 @@ def _picked(shared):
     return run
 
 
-def _compare(k: int):
-    """Rows of a group follow each other, its leader first: overlaps of the leader with all others."""
+def _compare(k: int, close: int):
+    """Rows of a group follow each other, its leader first: overlaps of the leader with all others,
+    and the differences (as hashes) of those whose similarity with it is ``close`` percent or more."""
+    import xxhash
     import zstandard
 
+    def hashed(some: set) -> np.ndarray:
+        return np.array(sorted(xxhash.xxh3_64_intdigest(b" ".join(x)) for x in some), dtype=np.uint64).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, group, lead = zstandard.ZstdDecompressor(), None, set()
         for batch in batches:
-            a_out, b_out, overlap, sizes = [], [], [], []
+            out = []
             for a, part, b, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingles(unpack.decompress(packed).lower().split(), k)
                 if b is None:
                     group, lead = (a, part), own
                 elif group == (a, part):
-                    a_out.append(a)
-                    b_out.append(b)
-                    overlap.append(len(own & lead))
-                    sizes.append(len(lead))
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(overlap, pa.int64()), pa.array(sizes, pa.int64())], ["a", "b", "overlap", "n_a"])
+                    o = len(own & lead)
+                    near = 100 * o >= close * (len(own) + len(lead) - o)
+                    out.append((a, b, o, len(lead), len(own), hashed(lead - own) if near else None, hashed(own - lead) if near else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "overlap", "n_a", "n_b", "gone", "new"])
 
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool) -> DataFrame:
-    """(a, b, overlap, n_a): exact overlaps of the pairs (a, b) of nodes, counted on their words."""
+COMPARED = "a long, b long, overlap long, n_a long, n_b long, gone array<long>, new array<long>"
+
+
+def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, close: int = 101) -> DataFrame:
+    """Exact overlaps of the pairs (a, b) of nodes, counted on their words, and differences of close ones."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(nodes.join(sets.select("node", "low"), "node"), "wanted")
@@ -230,7 +248,7 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeate
     others = dealt.join(texts, dealt["b"] == texts["node"]).select("a", "part", "b", "packed")
     leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")).join(texts, F.col("a") == texts["node"]).select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
     rows = leads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compare(k), "a long, b long, overlap long, n_a long")
+    return rows.mapInArrow(_compare(k, close), COMPARED)
 
 
 def _own_set(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -250,54 +268,126 @@ def _own_set(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("node").agg(F.first("packed").alias("packed"))
 
 
-_ENTRY = ["key", "i", "j", "node", "n", "pos", "comp", "lead", "overlap", "n_lead", "chunk"]
+def linked_rows(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * overlap >= percent * (n_a + n_b - overlap)
+
+
+def _matrix_overlap(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of small sets; elements of one set only are left out."""
+    m = len(sets)
+    out = np.zeros((m, m), dtype=np.float32)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    elements, at, n = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    keep = (n > 1)[at]
+    owner, at = owner[keep], column[at[keep]]
+    for low in range(0, int((n > 1).sum()), COLUMNS):
+        some = (at >= low) & (at < low + COLUMNS)
+        block = np.zeros((m, COLUMNS), dtype=np.float32)
+        block[owner[some], at[some] - low] = 1
+        out += block @ block.T
+    return out
+
+
+def forest(nodes: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (node, smallest node of its component) of a matrix of links."""
+    open_, out = np.ones(len(nodes), dtype=bool), []
+    for i in np.argsort(nodes, kind="stable"):
+        if not open_[i]:
+            continue
+        open_[i] = False
+        front = [i]
+        while front:
+            found = links[front].any(axis=0) & open_
+            open_ &= ~found
+            front = np.flatnonzero(found)
+            out += [(int(nodes[j]), int(nodes[i])) for j in front]
+            front = list(front)
+    return out
+
+
+def _derive(percent: int):
+    """Links among the sets of one leader, from their differences with it; rows of a group follow each other."""
+
+    def of_group(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes = np.array([r[0] for r in rows])
+        n = np.array([r[1] for r in rows], dtype=np.int64)
+        gone = [np.asarray(r[3], dtype=np.int64) for r in rows]
+        new = [np.asarray(r[4], dtype=np.int64) for r in rows]
+        lacking = np.array([len(g) for g in gone])
+        both_lack = lacking[:, None] + lacking[None, :] - _matrix_overlap(gone).astype(np.int64)
+        overlap = rows[0][2] - both_lack + _matrix_overlap(new).astype(np.int64)
+        links = linked_rows(n[:, None], n[None, :], overlap, percent)
+        np.fill_diagonal(links, False)
+        return forest(nodes, links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            found = []
+            for lead, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lead, i, j) != key:
+                    found += of_group(held) if len(held) > 1 else []
+                    key, held = (lead, i, j), []
+                held.append(tuple(row))
+            yield out(found)
+        yield out(of_group(held) if len(held) > 1 else [])
+
+    return run
+
+
+def dealt_in_pairs(rows: DataFrame, key: str, sizes: DataFrame, chunk: int) -> DataFrame:
+    """Rows of long groups in pairs (i, j) of chunks of about ``chunk`` rows; short groups are one pair (0, 0)."""
+    chunks = sizes.select(key, F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+
+
+_ENTRY = ["key", "i", "j", "node", "n", "pos", "comp", "lead", "chunk"]
 
 
 def _walk(percent: int):
     """Pairs of nodes left by the blocks of each list; the rows of a list follow each other by size."""
 
-    def blocks_of(r: dict[str, np.ndarray]):
-        """Runs of equal rows but for the node: list, size, position, component, leader and overlap."""
+    def pairs_of(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # blocks: runs of equal rows but for the node
         same = np.ones(len(r["key"]) - 1, dtype=bool)
-        for c in ("key", "i", "j", "chunk", "n", "pos", "comp", "lead", "overlap"):
+        for c in ("key", "i", "j", "chunk", "n", "pos", "comp", "lead"):
             same &= r[c][1:] == r[c][:-1]
         start = np.flatnonzero(np.r_[True, ~same])
-        return start, np.diff(np.r_[start, len(r["key"])])
-
-    def pairs_of(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        start, size = blocks_of(r)
+        size = np.diff(np.r_[start, len(r["key"])])
         b = {c: r[c][start] for c in _ENTRY}
         first = np.arange(len(start))
         step = 1
         while True:
             # each block with the one so many steps further on in its list, as long as sizes allow
-            first = first[first + step < len(start)]
-            x, y = first, first + step
+            x = first[first + step < len(start)]
+            y = x + step
             near = (b["key"][x] == b["key"][y]) & (b["i"][x] == b["i"][y]) & (b["j"][x] == b["j"][y]) & (100 * b["n"][x] >= percent * b["n"][y])
             first = x = x[near]
             if not len(x):
                 return
             y = x + step
             n_x, n_y, p_x, p_y = b["n"][x], b["n"][y], b["pos"][x], b["pos"][y]
-            need = least_overlap(n_x, n_y, percent)
             room = np.minimum(p_x, p_y) + np.minimum(n_x - p_x, n_y - p_y)
-            o_x, o_y = b["overlap"][x], b["overlap"][y]
-            known = b["lead"][x] == b["lead"][y]
-            most = np.where(known, np.minimum(o_x, o_y) + np.minimum(n_x - o_x, n_y - o_y), room)
-            sure = known & (o_x + o_y - b["n_lead"][x] >= need)
-            left = (b["comp"][x] != b["comp"][y]) & (room >= need) & (most >= need)
+            left = (b["comp"][x] != b["comp"][y]) & (b["lead"][x] != b["lead"][y]) & (room >= least_overlap(n_x, n_y, percent))
             left &= (b["i"][x] == b["j"][x]) | (b["chunk"][x] != b["chunk"][y])  # a pair of two chunks: one of each
             step += 1
             if not left.any():
                 continue
-            x, y, sure = x[left], y[left], sure[left]
+            x, y = x[left], y[left]
             # blocks to nodes
-            times = np.where(sure, 1, size[x] * size[y])
+            times = size[x] * size[y]
             at = np.repeat(np.arange(len(x)), times)
             k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             a = r["node"][start[x][at] + k // size[y][at]]
             c = r["node"][start[y][at] + k % size[y][at]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(sure[at])], ["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -318,6 +408,19 @@ def _walk(percent: int):
     return run
 
 
+def led(stars: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, close: int) -> DataFrame:
+    """(lead, node, n_lead, n, gone, new) of every set that is close to a leader: its own, or its leader's."""
+    both = written(compared(stars, sets, docs, k, repeated, close).filter("gone is not null"), "led1")
+    nearest = both.groupBy("b").agg(F.max(F.struct("overlap", -F.col("a"))).alias("best")).select("b", (-F.col("best.col2")).alias("a"))
+    own = both.join(nearest, ["a", "b"]).select(*both.columns)
+    up = own.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    up = up.join(up.select(F.col("a").alias("top"), F.col("top").alias("more")), "top", "left").select("a", F.coalesce("more", "top").alias("top"))
+    again = written(own.select("a", "b").join(up, "a").select(F.col("top").alias("a"), "b").filter("a <> b"), "again")
+    higher = written(compared(again, sets, docs, k, repeated, close).filter("gone is not null"), "led2")
+    rest = own.join(higher.select("b"), "b", "left_anti").select(*own.columns)
+    return higher.unionByName(rest).select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n_a").alias("n_lead"), F.col("n_b").alias("n"), "gone", "new")
+
+
 def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -339,32 +442,33 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
 
     postings = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    shared_lists = written(postings.join(lists, "key").select("key", "node", "n", "pos", "leader"), "lists")
-
-    # each set with the leader that most of its lists have
-    votes = shared_lists.filter("node <> leader").groupBy("node", "leader").count().filter(F.col("count") >= LEAST)
-    stars = votes.groupBy("node").agg(F.max(F.struct(F.col("count"), -F.col("leader"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
-    starred = written(compared(written(stars, "stars0"), sets, docs, n_words, repeated), "starred")
-    sizes = sets.select(F.col("node").alias("b"), "n")
-    linked = starred.join(sizes, "b").filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n") - F.col("overlap")))
-    links = linked.select("a", "b")
-    early = components(links)
-
-    # what is known of every node in a list: its component so far, its leader and the overlap with it
-    known = starred.select(F.col("b").alias("node"), F.col("a").alias("lead"), "overlap", F.col("n_a").alias("n_lead"))
+    shared_lists = written(postings.join(lists, "key").select("key", "node", "n", "pos", "leader", "size"), "lists")
+
+    # each set with the leader that most of its lists have, and the one of its longest lists
+    votes = shared_lists.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("lists"), F.sum(F.when(F.col("size") >= LONG, F.col("size")).otherwise(0)).alias("rows"))
+    votes = votes.filter((F.col("lists") >= LEAST) | (F.col("rows") > 0))
+    best = votes.groupBy("node").agg(F.max(F.when(F.col("lists") >= LEAST, F.struct("lists", -F.col("leader")))).alias("most"), F.max(F.when(F.col("rows") > 0, F.struct("rows", -F.col("leader")))).alias("longest"))
+    stars = best.select(F.explode(F.array_distinct(F.array_compact(F.array(-F.col("most.col2"), -F.col("longest.col2"))))).alias("a"), F.col("node").alias("b"))
+    members = written(led(written(stars, "stars"), sets, docs, n_words, repeated, CLOSE), "members")
+    none = F.array().cast("array<long>")
+    leaders = members.groupBy("lead").agg(F.max("n_lead").alias("n_lead"), (F.count(F.lit(1)) + 1).alias("size"))
+    whole = leaders.select("lead", F.col("lead").alias("node"), "n_lead", F.col("n_lead").alias("n"), none.alias("gone"), none.alias("new"))
+    groups = dealt_in_pairs(members.unionByName(whole), "lead", leaders, LEADER_CHUNK)
+    groups = groups.select("lead", "i", "j", "node", "n", "n_lead", "gone", "new").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "node")
+    early = components(groups.mapInArrow(_derive(percent), "a long, b long"))
+
+    # lists that are not connected yet; pairs of sets of one leader are settled
     entries = (
-        shared_lists.select("key", "node", "n", "pos").join(early, "node", "left").join(known, "node", "left")
-        .select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"), F.coalesce("lead", "node").alias("lead"), F.coalesce("overlap", "n").alias("overlap"), F.coalesce("n_lead", "n").alias("n_lead"))
+        shared_lists.select("key", "node", "n", "pos").join(early, "node", "left").join(members.select("node", "lead"), "node", "left")
+        .select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"), F.coalesce("lead", "node").alias("lead"))
     )
-    open_lists = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    dealt = entries.join(open_lists, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    order = ["key", "i", "j", "n", "pos", "comp", "lead", "overlap", "chunk", "node"]
-    walked = dealt.select(*_ENTRY).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_walk(percent), "a long, b long, sure boolean")
-    pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.max("sure").alias("sure")).filter(F.col("sure") | (F.col("lists") >= LEAST)), "pairs")
-    late = written(compared(pairs.filter("not sure").select("a", "b"), sets, docs, n_words, repeated), "late")
-    n_b = late.join(sizes, "b").filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n") - F.col("overlap")))
-    labels = components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(pairs.filter("sure").select("a", "b")).unionByName(n_b.select("a", "b")))
+    open_lists = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
+    dealt = dealt_in_pairs(entries, "key", open_lists, CHUNK).select(*_ENTRY)
+    order = ["key", "i", "j", "n", "pos", "comp", "lead", "chunk", "node"]
+    walked = dealt.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_walk(percent), "a long, b long")
+    pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= LEAST).select("a", "b"), "pairs")
+    late = compared(pairs, sets, docs, n_words, repeated).filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
+    labels = components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late.select("a", "b")))
 
     # labels of sets, then of rows
     noded = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
