@@ -239,15 +239,18 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeate
     marks = wanted.select(F.xxhash64("low")).mapInArrow(_wanted_bits, "task long, slice int, value binary")
     shared = spark.sparkContext.broadcast(gathered(marks, _joined, (1 << WANTED_BITS) // 8))
     found = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_picked(shared), "doc_id long, packed binary")
-    # of rows that repeat an id with other texts, the one is taken whose set belongs to the node
-    texts = found.join(wanted.withColumnRenamed("low", "doc_id"), "doc_id").select("node", "packed")
+    # who needs which text, in numbers only: a text is shuffled to its id and then to its group, no more
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", F.col("b").alias("node"))
+    leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    asked = leads.unionByName(others).join(wanted.withColumnRenamed("low", "doc_id"), "node")
     if repeated:
-        texts = _own_set(texts, sets, k)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
-    others = dealt.join(texts, dealt["b"] == texts["node"]).select("a", "part", "b", "packed")
-    leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")).join(texts, F.col("a") == texts["node"]).select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
-    rows = leads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        # of rows that repeat an id with other texts, the one is taken whose set belongs to the node
+        texts = _own_set(found.join(wanted.withColumnRenamed("low", "doc_id"), "doc_id").select("node", "packed"), sets, k)
+        rows = asked.join(texts, "node")
+    else:
+        rows = asked.join(found, "doc_id")
+    rows = rows.select("a", "part", "b", "packed").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_compare(k, close), COMPARED)
 
 
