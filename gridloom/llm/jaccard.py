@@ -55,8 +55,8 @@ CHUNK, LEADER_CHUNK, GROUP = 4096, 1536, 64
 CLOSE = 50
 #: Rows from which a list counts as long: a set in one always gets a leader.
 LONG = 16
-#: Columns of the matrices that are multiplied at once.
-COLUMNS = 2048
+#: Columns of the matrices that are multiplied at once, and rows of links worked out at once.
+COLUMNS, SOME_ROWS = 2048, 256
 #: Bits of the table that tells which texts a comparison needs.
 WANTED_BITS = 23
 CACHE_WORDS = 400_000
@@ -318,9 +318,17 @@ def _derive(percent: int):
         gone = [np.asarray(r[3], dtype=np.int64) for r in rows]
         new = [np.asarray(r[4], dtype=np.int64) for r in rows]
         lacking = np.array([len(g) for g in gone])
-        both_lack = lacking[:, None] + lacking[None, :] - _matrix_overlap(gone).astype(np.int64)
-        overlap = rows[0][2] - both_lack + _matrix_overlap(new).astype(np.int64)
-        links = linked_rows(n[:, None], n[None, :], overlap, percent)
+        # one matrix, changed in place: single precision holds these whole numbers exactly up to 2^24
+        kind = np.float32 if rows[0][2] + int(n.max()) < 1 << 23 else np.float64
+        overlap = _matrix_overlap(gone).astype(kind, copy=False)
+        overlap -= lacking[:, None].astype(kind)
+        overlap -= lacking[None, :].astype(kind)
+        overlap += _matrix_overlap(new)
+        overlap += kind(rows[0][2])
+        links = np.empty(overlap.shape, dtype=bool)
+        for at in range(0, len(n), SOME_ROWS):
+            some = slice(at, at + SOME_ROWS)
+            links[some] = linked_rows(n[some, None], n[None, :], overlap[some].astype(np.int64), percent)
         np.fill_diagonal(links, False)
         return forest(nodes, links)
 
