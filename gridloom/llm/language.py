@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import crc_bucket, small_batches, table
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.1
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 2000
 #: Share of right predictions of the calibration rows that rejection may cost, and its highest bar.
 LOST, MOST = 0.002, 0.5
 CHUNK_BYTES = 1_000_000
@@ -66,7 +66,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" " + normal(text) + _GAP, dtype=np.uint8)
     idx, counts = grams(data)
     idx, n = np.unique(idx[:, counts], return_counts=True)
-    return idx.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+    return idx.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Lan
     found = sample.mapInArrow(_sampled, "lang string, idx binary, share binary, part long").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["idx"]), bytes(r["share"]), r["part"]))  # the same order in each run
     y = np.array([langs.index(r["lang"]) for r in found])
-    x = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found]
+    x = [(np.frombuffer(r["idx"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in found]
     kept = np.array([r["part"] != 0 for r in found]) if len(found) >= 50 else np.ones(len(found), bool)
     return fit(langs, x, y, kept, seed)
 
