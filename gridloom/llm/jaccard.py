@@ -9,9 +9,10 @@ found by exact overlaps of the words themselves, or follow from such overlaps by
 2. Shingles are ordered from rare to frequent by a fixed-size table of counts over the whole corpus
    (ties by hash). Two sets that link share at least ``LEAST`` shingles among the first
    ``n - ceil(t * n) + LEAST`` of each; those are posted, and a posted shingle's sets are its list.
-3. Each set is compared exactly with a leader: the smallest set of most of its lists, or of its
-   longest ones, and then that set's own leader if it is close enough. The number of comparisons is
-   at most three times the number of sets, however long the lists are. What a close set lacks of its leader L and has beyond it is kept.
+3. Each set is compared exactly with leaders: the smallest set of most of its lists, the smallest
+   and the largest one of its longest lists, and then its nearest leader's own leader. The number of
+   comparisons is at most four times the number of sets, however long the lists are. What a close
+   set lacks of its leader L and has beyond it is kept.
 4. Answer-level skipping: overlaps of any two sets of one leader follow from these differences,
    ``|A & B| = |L| - |(L - A) | (L - B)| + |(A - L) & (B - L)|``, without their other elements.
    Sets of a leader are dealt in pairs of bounded chunks; in each pair of chunks the overlaps are
@@ -359,7 +360,9 @@ def dealt_in_pairs(rows: DataFrame, key: str, sizes: DataFrame, chunk: int) -> D
     return dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
 
 
-_ENTRY = ["key", "i", "j", "node", "n", "pos", "comp", "lead", "chunk"]
+#: Leaders of a set: three at most, and itself if it leads others.
+_LEADS = ["lead0", "lead1", "lead2", "lead3"]
+_ENTRY = ["key", "i", "j", "node", "n", "pos", "comp", *_LEADS, "chunk"]
 
 
 def _walk(percent: int):
@@ -368,7 +371,7 @@ def _walk(percent: int):
     def pairs_of(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         # blocks: runs of equal rows but for the node
         same = np.ones(len(r["key"]) - 1, dtype=bool)
-        for c in ("key", "i", "j", "chunk", "n", "pos", "comp", "lead"):
+        for c in ("key", "i", "j", "chunk", "n", "pos", "comp", *_LEADS):
             same &= r[c][1:] == r[c][:-1]
         start = np.flatnonzero(np.r_[True, ~same])
         size = np.diff(np.r_[start, len(r["key"])])
@@ -386,7 +389,10 @@ def _walk(percent: int):
             y = x + step
             n_x, n_y, p_x, p_y = b["n"][x], b["n"][y], b["pos"][x], b["pos"][y]
             room = np.minimum(p_x, p_y) + np.minimum(n_x - p_x, n_y - p_y)
-            left = (b["comp"][x] != b["comp"][y]) & (b["lead"][x] != b["lead"][y]) & (room >= least_overlap(n_x, n_y, percent))
+            left = (b["comp"][x] != b["comp"][y]) & (room >= least_overlap(n_x, n_y, percent))
+            for one in _LEADS:
+                for other in _LEADS:
+                    left &= b[one][x] != b[other][y]  # sets of one leader: answered
             left &= (b["i"][x] == b["j"][x]) | (b["chunk"][x] != b["chunk"][y])  # a pair of two chunks: one of each
             step += 1
             if not left.any():
@@ -420,7 +426,8 @@ def _walk(percent: int):
 
 
 def led(stars: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, close: int) -> DataFrame:
-    """(lead, node, n_lead, n, gone, new) of every set that is close to a leader: its own, or its leader's."""
+    """(lead, node, n_lead, n, gone, new) of every set that is close to a leader: its own or its leader's,
+    and the others it was compared with; three leaders of a set at most."""
     both = written(compared(stars, sets, docs, k, repeated, close).filter("gone is not null"), "led1")
     nearest = both.groupBy("b").agg(F.max(F.struct("overlap", -F.col("a"))).alias("best")).select("b", (-F.col("best.col2")).alias("a"))
     own = both.join(nearest, ["a", "b"]).select(*both.columns)
@@ -429,7 +436,9 @@ def led(stars: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bo
     again = written(own.select("a", "b").join(up, "a").select(F.col("top").alias("a"), "b").filter("a <> b"), "again")
     higher = written(compared(again, sets, docs, k, repeated, close).filter("gone is not null"), "led2")
     rest = own.join(higher.select("b"), "b", "left_anti").select(*own.columns)
-    return higher.unionByName(rest).select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n_a").alias("n_lead"), F.col("n_b").alias("n"), "gone", "new")
+    first = higher.unionByName(rest)
+    second = both.join(first.select("a", "b"), ["a", "b"], "left_anti").join(own.select("a", "b"), ["a", "b"], "left_anti").select(*own.columns)
+    return first.unionByName(second).select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n_a").alias("n_lead"), F.col("n_b").alias("n"), "gone", "new")
 
 
 def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,14 +461,22 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     prefixes = written(one.join(sets, "digest").select("node", "n", "prefix"), "prefixes")
 
     postings = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    shared_lists = written(postings.join(lists, "key").select("key", "node", "n", "pos", "leader", "size"), "lists")
-
-    # each set with the leader that most of its lists have, and the one of its longest lists
-    votes = shared_lists.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("lists"), F.sum(F.when(F.col("size") >= LONG, F.col("size")).otherwise(0)).alias("rows"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.max("node").alias("other")).filter("size > 1")
+    shared_lists = written(postings.join(lists, "key").select("key", "node", "n", "pos", "leader", "other", "size"), "lists")
+
+    # each set with the leader that most of its lists have, and with the first and the last set of its
+    # longest lists: where one of them happens to be unlike the rest of its list, the other leads
+    rows_of = F.when(F.col("size") >= LONG, F.col("size")).otherwise(0)
+    votes = shared_lists.select("node", F.explode(F.array(F.struct(F.col("leader"), F.lit(False).alias("last")), F.struct(F.col("other").alias("leader"), F.lit(True).alias("last")))).alias("v"), rows_of.alias("rows"))
+    votes = votes.select("node", "v.*", "rows").filter("node <> leader and (rows > 0 or not last)")
+    votes = votes.groupBy("node", "leader", "last").agg(F.count(F.lit(1)).alias("lists"), F.sum("rows").alias("rows"))
     votes = votes.filter((F.col("lists") >= LEAST) | (F.col("rows") > 0))
-    best = votes.groupBy("node").agg(F.max(F.when(F.col("lists") >= LEAST, F.struct("lists", -F.col("leader")))).alias("most"), F.max(F.when(F.col("rows") > 0, F.struct("rows", -F.col("leader")))).alias("longest"))
-    stars = best.select(F.explode(F.array_distinct(F.array_compact(F.array(-F.col("most.col2"), -F.col("longest.col2"))))).alias("a"), F.col("node").alias("b"))
+    best = votes.groupBy("node").agg(
+        F.max(F.when(~F.col("last") & (F.col("lists") >= LEAST), F.struct("lists", -F.col("leader")))).alias("most"),
+        F.max(F.when(~F.col("last") & (F.col("rows") > 0), F.struct("rows", -F.col("leader")))).alias("longest"),
+        F.max(F.when(F.col("last") & (F.col("rows") > 0), F.struct("rows", -F.col("leader")))).alias("final"),
+    )
+    stars = best.select(F.explode(F.array_distinct(F.array_compact(F.array(-F.col("most.col2"), -F.col("longest.col2"), -F.col("final.col2"))))).alias("a"), F.col("node").alias("b"))
     members = written(led(written(stars, "stars"), sets, docs, n_words, repeated, CLOSE), "members")
     none = F.array().cast("array<long>")
     leaders = members.groupBy("lead").agg(F.max("n_lead").alias("n_lead"), (F.count(F.lit(1)) + 1).alias("size"))
@@ -469,13 +486,15 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     early = components(groups.mapInArrow(_derive(percent), "a long, b long"))
 
     # lists that are not connected yet; pairs of sets of one leader are settled
+    leads = members.select("node", "lead").unionByName(leaders.select(F.col("lead").alias("node"), "lead"))
+    leads = leads.groupBy("node").agg(F.array_sort(F.collect_set("lead")).alias("leads"))
     entries = (
-        shared_lists.select("key", "node", "n", "pos").join(early, "node", "left").join(members.select("node", "lead"), "node", "left")
-        .select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"), F.coalesce("lead", "node").alias("lead"))
-    )
+        shared_lists.select("key", "node", "n", "pos").join(early, "node", "left").join(leads, "node", "left")
+        .select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"), *(F.coalesce(F.get("leads", F.lit(i)), "node").alias(c) for i, c in enumerate(_LEADS)))
+    )
     open_lists = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
     dealt = dealt_in_pairs(entries, "key", open_lists, CHUNK).select(*_ENTRY)
-    order = ["key", "i", "j", "n", "pos", "comp", "lead", "chunk", "node"]
+    order = ["key", "i", "j", "n", "pos", "comp", *_LEADS, "chunk", "node"]
     walked = dealt.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_walk(percent), "a long, b long")
     pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= LEAST).select("a", "b"), "pairs")
     late = compared(pairs, sets, docs, n_words, repeated).filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
