@@ -28,14 +28,20 @@ def _cells(s: DataFrame, grow: float) -> DataFrame:
     def span(a: str, b: str) -> Column:
         return F.sequence(F.floor((F.least(a, b) - grow) / CELL), F.floor((F.greatest(a, b) + grow) / CELL))
 
-    return s.withColumn("gx", F.explode(span("ax", "bx"))).withColumn("gy", F.explode(span("ay", "by")))
+    cells = s.withColumns({"_x": span("ax", "bx"), "_y": span("ay", "by")}).withColumns({"gx0": F.get("_x", F.lit(0)), "gy0": F.get("_y", F.lit(0))})
+    return cells.withColumn("gx", F.explode("_x")).withColumn("gy", F.explode("_y")).drop("_x", "_y")
 
 
 def covered(a: DataFrame, b: DataFrame, buffer: float) -> DataFrame:
     """(road_id, k, lo, hi): intervals of the segments of a inside the buffer of a segment of b."""
-    other = _cells(b, buffer).select("gx", "gy", *(F.col(x).alias("c" + x) for x in ("road_id", "k", "ax", "ay", "bx", "by", "len")))
-    p = _cells(a, 0.0).join(other, ["gx", "gy"]).drop("gx", "gy").dropDuplicates(["road_id", "k", "croad_id", "ck"])
+    other = _cells(b, buffer).select("gx", "gy", *(F.col(x).alias("c" + x) for x in ("gx0", "gy0", "ax", "ay", "bx", "by", "len")))
     col = F.col
+
+    def near(lo: str, hi: str) -> Column:
+        return (F.least(lo, hi) <= F.greatest("c" + lo, "c" + hi) + buffer) & (F.least("c" + lo, "c" + hi) <= F.greatest(lo, hi) + buffer)
+
+    # a pair counts in the first of the cells it shares only, which takes no shuffle of the pairs
+    p = _cells(a, 0.0).join(other, ["gx", "gy"]).filter((col("gx") == F.greatest("gx0", "cgx0")) & (col("gy") == F.greatest("gy0", "cgy0")) & near("ax", "bx") & near("ay", "by"))
     dx, dy = col("bx") - col("ax"), col("by") - col("ay")
     ux, uy = (col("cbx") - col("cax")) / col("clen"), (col("cby") - col("cay")) / col("clen")
     ox, oy = col("ax") - col("cax"), col("ay") - col("cay")
