@@ -115,15 +115,22 @@ def _bridged(spark, sf) -> DataFrame:
     return skeleton.bridged(skeleton.skeleton(mask.threshold(p, 0.6)), p, gap=6.0)
 
 
+def _ridges(spark, sf) -> DataFrame:
+    """Bright and dark ridges over all scales, the stronger of both."""
+    v, sc = _unit(spark, sf), _scene(spark, sf)
+    both = stencil.frangi(v, sc).unionByName(stencil.frangi(v, sc, bright=False))
+    return _rounded(both.groupBy("raster_id", "r", "c").agg(F.max("v").alias("v")), "v")
+
+
 QUERIES: dict[str, Query] = {
     # tiles
     "tile_windows": lambda s, d: tiling.windows(virtual.scene_catalog(s, d)),
     "tile_windows_sliding": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 128),
-    "tile_windows_tail": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 192, "append"),
+    "tile_windows_tail": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 64, "append"),
     "subimage_grid": lambda s, d: tiling.crops(virtual.scene_catalog(s, d), 240, 120, 60),
     "tile_batches": lambda s, d: tiling.batches(tiling.windows(virtual.scene_catalog(s, d))).groupBy("raster_id", "batch_id").agg(F.count(F.lit(1)).alias("tiles")),
     "pad_sizes": lambda s, d: tiling.pad_sizes(virtual.scene_catalog(s, d), 32),
-    "training_patches": lambda s, d: tiling.training_patches(virtual.scene_catalog(s, d), 128, 128),
+    "training_patches": lambda s, d: tiling.training_patches(virtual.scene_catalog(s, d), 128, 32),
     "scaled_sizes": lambda s, d: lists.scaled_sizes(virtual.scene_catalog(s, d)).withColumns({"out_w": F.col("out_w").cast("long"), "out_h": F.col("out_h").cast("long")}),
     "read_window": lambda s, d: _rounded(tiling.read_window(_raster(s, d), _scene(s, d), 40, 10, 32, 16), "v"),
     "tile_halo": lambda s, d: tiling.halo_tiles(_raster(s, d), 32, 4).groupBy("tile_r", "tile_c").agg(F.count(F.lit(1)).alias("pixels"), F.count_if("inner").alias("own")),
@@ -155,7 +162,7 @@ QUERIES: dict[str, Query] = {
     # neighbourhoods
     "gaussian_smooth": lambda s, d: _rounded(stencil.gaussian(_unit(s, d), _scene(s, d), 0.8, radius=1), "v"),
     "box_mean": lambda s, d: _rounded(stencil.box_mean(_unit(s, d), _scene(s, d)), "v"),
-    "median_filter": lambda s, d: _rounded(stencil.median(_unit(s, d), _scene(s, d), 1), "v"),
+    "median_filter": lambda s, d: _rounded(stencil.median(_unit(s, d), _scene(s, d), 3), "v"),
     "sobel_gradient": lambda s, d: _rounded(stencil.gradient(_unit(s, d)).select("raster_id", "r", "c", "gx", "gy", "magnitude"), "gx", "gy", "magnitude"),
     "endpoints": lambda s, d: stencil.endpoints(_mask(s, d)),
     "neighbour_count": lambda s, d: stencil.neighbour_count(_mask(s, d)),
@@ -163,7 +170,7 @@ QUERIES: dict[str, Query] = {
     "width_band": lambda s, d: _rounded(mask.width_band(distance.widths(_distances(s, d), 2.0)), "dist", "w"),
     "nms_ridges": lambda s, d: _rounded(stencil.ridges(stencil.gaussian(_unit(s, d), _scene(s, d), 1.0)), "v"),
     "ribbon_energy": lambda s, d: _rounded(stencil.ribbon_energy(_unit(s, d)), "v"),
-    "frangi_ridge": lambda s, d: _rounded(stencil.frangi(_unit(s, d), _scene(s, d), (1.2, 2.0)), "v"),
+    "frangi_ridge": _ridges,
     "contrast_equalised": lambda s, d: stencil.clahe(_unit(s, d).withColumn("v", F.col("v") * 255), _scene(s, d)),
     "edges": lambda s, d: stencil.edges(_unit(s, d).withColumn("v", F.col("v") * 255)),
     # components and segments
