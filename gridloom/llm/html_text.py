@@ -2,12 +2,12 @@
 
 Markup is stripped to lines, one for each block element. Lines of page furniture (navigation,
 page headers and footers, side bars, notices, adverts, forms, reader comments, scripts, styles)
-count as empty, and so do lines that are mostly links; where the page marks its article
+are left out; lines that are mostly links count as empty; where the page marks its article
 (``article`` or ``main``), lines outside it count as empty as well. The text lengths of ``WINDOW``
 lines are summed from every line on: a surge is a line at which the sum rises to the bar, a dive
 the next at which it falls to zero. The text between surge and dive is kept. In a marked article
-any text is a surge and every stretch is kept; elsewhere the bar is ``SURGE`` characters, and
-stretches much shorter than the longest are left out.
+any text is a surge and every stretch is kept; elsewhere the bar is ``SURGE`` characters, and each
+stretch that reaches it is kept. Furniture leaves no lines, so text goes on behind it.
 
 Defined results: null or empty html gives an empty text; markup that is not closed ends with its
 parent or the page; repeated rows give one result row each; null ids and urls are kept; an empty
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import small_batches, table
 
 WINDOW, SURGE = 3, 80
-#: Share of link text from which a line counts as a menu entry, and share of the longest stretch that is kept.
-LINKS, STRETCH = 0.6, 0.3
+#: Share of link text from which a line counts as a menu entry.
+LINKS = 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -76,7 +76,7 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
-    """Text of each line (empty for furniture and menus), whether it is in a marked article, and whether there is one."""
+    """Text of each line (empty for menus, none for furniture), whether it is in a marked article, and whether there is one."""
     lines: list[str] = []
     inside: list[bool] = []
     text: list[str] = []
@@ -101,10 +101,6 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             text.clear()
         linked = 0
 
-    def gap() -> None:
-        lines.extend([""] * WINDOW)
-        inside.extend([article > 0] * WINDOW)
-
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not skip:
@@ -133,7 +129,6 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             if not ends:
                 continue
             done, skip = skip, ""
-            gap()
             if name == done and depth == 0 and closing:
                 continue
         if name in BLOCKS:
@@ -191,9 +186,6 @@ def main_text(page: str | None) -> str:
     if not lengths.any():
         return ""
     found = stretches(lengths, 1 if marked else SURGE) or stretches(lengths, 1)
-    if not marked:
-        most = max(lengths[a:b].sum() for a, b in found)
-        found = [(a, b) for a, b in found if lengths[a:b].sum() >= STRETCH * most]
     return " ".join(lines[i] for a, b in found for i in range(a, b) if lengths[i])
 
 
