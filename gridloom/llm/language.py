@@ -3,7 +3,7 @@
 A text is the average of the embeddings of its byte 2-, 3- and 4-grams (hashed into ``BUCKETS``
 rows) followed by a linear softmax; both are trained together by stochastic gradient descent in
 numpy. Training uses a stratified sample of the labelled rows of about ``SAMPLE_DOCS`` documents,
-chosen by a hash of the id; a fifth of it is set aside to fit the temperature of the probabilities
+chosen by a hash of the id; two fifths of it are set aside to fit the temperature of the probabilities
 and the confidence below which a prediction is rejected. Prediction reads whole texts: as the
 softmax is linear, embeddings and weights are multiplied once and a text is a sum of table rows.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import crc_bucket, small_batches, table
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.1
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 4000
 #: Share of right predictions of the calibration rows that rejection may cost, and its highest bar.
 LOST, MOST = 0.002, 0.5
 CHUNK_BYTES = 1_000_000
@@ -91,7 +91,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Lan
     found.sort(key=lambda r: (r["lang"], bytes(r["idx"]), bytes(r["share"]), r["part"]))  # the same order in each run
     y = np.array([langs.index(r["lang"]) for r in found])
     x = [(np.frombuffer(r["idx"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in found]
-    kept = np.array([r["part"] != 0 for r in found]) if len(found) >= 50 else np.ones(len(found), bool)
+    kept = np.array([r["part"] > 1 for r in found]) if len(found) >= 50 else np.ones(len(found), bool)
     return fit(langs, x, y, kept, seed)
 
 
