@@ -7,8 +7,9 @@ found by exact overlaps of the words themselves, or follow from such overlaps by
 
 1. Equal sets are one node, so a group of copies costs one row.
 2. Shingles are ordered from rare to frequent by a fixed-size table of counts over the whole corpus
-   (ties by hash). Two sets that link share at least ``LEAST`` shingles among the first
-   ``n - ceil(t * n) + LEAST`` of each; those are posted, and a posted shingle's sets are its list.
+   (ties by hash). Two sets that link share at least ``LEAST`` shingles (below 67 percent as many as
+   :func:`least_shared` says) among the first ``n - ceil(t * n) + LEAST`` of each; those are posted, and
+   a posted shingle's sets are its list.
 3. Each set is compared exactly with leaders: the smallest set of most of its lists, the smallest
    and the largest one of its longest lists, and then its nearest leader's own leader. The number of
    comparisons is at most four times the number of sets, however long the lists are. What a close
@@ -103,10 +104,15 @@ def least_overlap(a, b, percent: int):
 
 
 def smallest_different(percent: int) -> int:
-    """Sets smaller than this link with equal sets only."""
+    """Sets smaller than this link with equal sets only; different sets that link share as many at least."""
     return max(1, -(-100 // (100 - percent)) - 1) if percent < 100 else 1 << 62
 
 
+def least_shared(percent: int) -> int:
+    """Posted shingles that any two different sets that link share: fewer than ``LEAST`` below 67 percent."""
+    return min(LEAST, smallest_different(percent))
+
+
 def _sets(k: int):
     """Size and digest of every document's set, and at the end the counts of all shingles."""
     import xxhash
@@ -169,7 +175,7 @@ def _prefixes(shared, k: int, percent: int):
                 if len(h) < least:
                     continue
                 order = ranks[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] | (h >> np.uint64(16))
-                p = len(h) + (-percent * len(h)) // 100 + LEAST
+                p = len(h) + (-percent * len(h)) // 100 + least_shared(percent)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 prefixes.append(h[np.argsort(order, kind="stable")[:p]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["digest", "prefix"])
@@ -443,7 +449,7 @@ def led(stars: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bo
 
 def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = docs.sparkSession
+    spark, shared_least = docs.sparkSession, least_shared(percent)
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "row_id long, doc_id long, n long, digest binary, slice int, counts binary"
@@ -470,9 +476,9 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     votes = shared_lists.select("node", F.explode(F.array(F.struct(F.col("leader"), F.lit(False).alias("last")), F.struct(F.col("other").alias("leader"), F.lit(True).alias("last")))).alias("v"), rows_of.alias("rows"))
     votes = votes.select("node", "v.*", "rows").filter("node <> leader and (rows > 0 or not last)")
     votes = votes.groupBy("node", "leader", "last").agg(F.count(F.lit(1)).alias("lists"), F.sum("rows").alias("rows"))
-    votes = votes.filter((F.col("lists") >= LEAST) | (F.col("rows") > 0))
+    votes = votes.filter((F.col("lists") >= shared_least) | (F.col("rows") > 0))
     best = votes.groupBy("node").agg(
-        F.max(F.when(~F.col("last") & (F.col("lists") >= LEAST), F.struct("lists", -F.col("leader")))).alias("most"),
+        F.max(F.when(~F.col("last") & (F.col("lists") >= shared_least), F.struct("lists", -F.col("leader")))).alias("most"),
         F.max(F.when(~F.col("last") & (F.col("rows") > 0), F.struct("rows", -F.col("leader")))).alias("longest"),
         F.max(F.when(F.col("last") & (F.col("rows") > 0), F.struct("rows", -F.col("leader")))).alias("final"),
     )
@@ -496,7 +502,7 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     dealt = dealt_in_pairs(entries, "key", open_lists, CHUNK).select(*_ENTRY)
     order = ["key", "i", "j", "n", "pos", "comp", *_LEADS, "chunk", "node"]
     walked = dealt.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_walk(percent), "a long, b long")
-    pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= LEAST).select("a", "b"), "pairs")
+    pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= shared_least).select("a", "b"), "pairs")
     late = compared(pairs, sets, docs, n_words, repeated).filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
     labels = components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late.select("a", "b")))
 
