@@ -10,7 +10,8 @@ differ from its target by less than the size of the one document that is settled
 Pairing runs inside (source, bucket) groups of bounded size first, so that a source with most of
 the rows is dealt to many tasks; the one unsettled document of each group then goes up a reduction
 tree of ``FAN`` groups to a node until a source has one left. Buckets, order and random numbers
-come from hashes of the documents' ids, so reruns agree whatever the partitions are.
+come from hashes of the documents' ids and texts, and of a number among rows that have the same id,
+source and text, so reruns agree whatever the partitions are.
 
 Defined results: a null text has size 0; documents of size 0 take no part in the rounding and keep
 the whole part of their copies; a null source is a source of its own, ordered last; repeated rows
@@ -34,7 +35,15 @@ MAX_COPIES = 2.0
 #: Documents in a group of the first level, on average, and groups under a node of the tree.
 GROUP_ROWS, FAN = 4096, 64
 
-_ROWS = "doc_id long, source string, size long, whole long, p double, bucket long"
+_ROWS = "doc_id long, source string, size long, digest long, number long, whole long, p double, bucket long"
+#: What rows that cannot be told apart have in common.
+_KEY = ["doc_id", "source", "size", "digest"]
+#: Repeated documents that one task writes.
+CHUNK = 1024
+
+
+def _keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("digest")]
 
 
 def n_words(text: Column) -> Column:
@@ -89,28 +98,29 @@ def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool
 def _settle_group(seed: int, level: int, last: bool):
     def run(key, rows):
         # large documents first: the one left unsettled is then small
-        rows = rows.sort_values(["size", "doc_id", "bucket"], ascending=[False, True, True], na_position="last")
+        rows = rows.sort_values(["size", "doc_id", "digest", "number"], ascending=[False, True, True, True], na_position="last")
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{key[0]}|{key[1]}".encode()))
         p = settle(rows["p"].to_numpy(), rows["size"].to_numpy(), rng, last)
         done = (p == 0.0) | (p == 1.0)
-        return rows.assign(whole=rows["whole"] + np.where(done, p, 0).astype("int64"), p=np.where(done, 0.0, p))[["doc_id", "source", "size", "whole", "p", "bucket"]]
+        return rows.assign(whole=rows["whole"] + np.where(done, p, 0).astype("int64"), p=np.where(done, 0.0, p))[["doc_id", "source", "size", "digest", "number", "whole", "p", "bucket"]]
 
     return run
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, group_rows: int = GROUP_ROWS, **shares) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the mix takes the document)."""
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
+    """doc_id, source, size, digest, source_size, target and copies (how often the mix takes the document)."""
+    equal = docs.select(*_keys(id_col, text_col, source_col)).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    sized = written(equal.select(*_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("number")), "sizes")
     targets = source_targets(sized.select("source", "size"), **shares)
     n_docs = targets.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, math.ceil(n_docs / group_rows))
 
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sized["source"], "size",
+        "doc_id", sized["source"], "size", "digest", "number",
         F.floor(copies).alias("whole"),
         F.when(F.col("size") > 0, copies - F.floor(copies)).otherwise(F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64(F.col("doc_id"), F.col("digest"), F.col("number"), F.lit(seed)), F.lit(buckets)).alias("bucket"),
     )
     settled, level, nodes = [rows.filter("p = 0")], 0, buckets
     open_rows = rows.filter("p > 0")
@@ -127,17 +137,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for part in settled[1:]:
         out = out.unionByName(part)
     out = out.withColumnRenamed("whole", "copies")
-    return out.join(targets, out["source"].eqNullSafe(targets["source"])).select("doc_id", out["source"], "size", "source_size", "target", "copies")
-
-
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, each as often as the mix takes it. Rows that repeat an id are told apart by size."""
-    per_id = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("size", "copies"))), lambda x: x["copies"]).alias("_copies"))
-    one = Window.partitionBy(id_col).orderBy("_size")
-    rows = docs.withColumn("_size", n_words(F.col(text_col))).withColumn("_k", F.row_number().over(one))
-    joined = rows.join(per_id, rows[id_col].cast("long").eqNullSafe(per_id["_id"]))
-    times = F.element_at("_copies", F.col("_k")).cast("int")
-    return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return out.join(targets, out["source"].eqNullSafe(targets["source"])).select("doc_id", out["source"], "size", "digest", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents, each as often as the mix takes it.
+
+    Rows of one id, source and text are taken equally often or once more; the ones more are dealt over them."""
+    per = mixed.groupBy(*(F.col(k).alias("_" + k) for k in _KEY)).agg(F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_more", F.col("_all") - F.col("_n") * F.col("_least")).drop("_all", "_n").filter("_least > 0 or _more > 0")
+    keyed = docs.select("*", *(c.alias("_k_" + k) for k, c in zip(_KEY, _keys(id_col, text_col, source_col), strict=True)))
+    same = None
+    for k in _KEY:
+        one = F.col("_k_" + k).eqNullSafe(F.col("_" + k))
+        same = one if same is None else same & one
+    found = keyed.join(per, same)
+    each = found.filter("_least > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_least").cast("int")))).select(*docs.columns)
+    # equal rows are counted before anything is dealt to them, so that no task holds all rows of a key
+    kinds = found.filter("_more > 0").groupBy(*docs.columns, *("_k_" + k for k in _KEY), "_more").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*("_k_" + k for k in _KEY)).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = kinds.withColumn("_take", F.least(F.col("_m"), F.col("_more") - F.coalesce(F.sum("_m").over(before), F.lit(0)))).filter("_take > 0")
+    lots = dealt.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_take") - 1) / CHUNK)))).withColumn("_here", F.least(F.lit(CHUNK).cast("long"), F.col("_take") - F.col("_lot") * CHUNK))
+    more = lots.repartition(*("_k_" + k for k in _KEY), "_lot").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_here")))).select(*docs.columns)
+    return each.unionByName(more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
