@@ -11,9 +11,10 @@ found by exact overlaps of the words themselves, or follow from such overlaps by
    :func:`least_shared` says) among the first ``n - ceil(t * n) + LEAST`` of each; those are posted, and
    a posted shingle's sets are its list.
 3. Each set is compared exactly with leaders: the smallest set of most of its lists, the smallest
-   and the largest one of its longest lists, and then its nearest leader's own leader. The number of
-   comparisons is at most four times the number of sets, however long the lists are. What a close
-   set lacks of its leader L and has beyond it is kept.
+   and the largest one of its longest lists, and then its nearest leader's own leader; leaders with
+   which it shares fewer than ``LEAST`` lists, or whose size is too far off, are left out. The
+   number of comparisons is at most four times the number of sets, however long the lists are. What
+   a close set lacks of its leader L and has beyond it is kept.
 4. Answer-level skipping: overlaps of any two sets of one leader follow from these differences,
    ``|A & B| = |L| - |(L - A) | (L - B)| + |(A - L) & (B - L)|``, without their other elements.
    Sets of a leader are dealt in pairs of bounded chunks; in each pair of chunks the overlaps are
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import row_ids, small_batches, table, written
+from gridloom.llm.common import discard, row_ids, small_batches, table, written
 from gridloom.llm.components import components
 
 N_WORDS, PERCENT = 3, 90
@@ -238,11 +239,14 @@ def _compare(k: int, close: int):
 COMPARED = "a long, b long, overlap long, n_a long, n_b long, gone array<long>, new array<long>"
 
 
-def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, close: int = 101) -> DataFrame:
-    """Exact overlaps of the pairs (a, b) of nodes, counted on their words, and differences of close ones."""
+def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, work: list[DataFrame], close: int = 101) -> DataFrame:
+    """Exact overlaps of the pairs (a, b) of nodes, counted on their words, and differences of close ones.
+
+    Adds to ``work`` the table that the caller has to discard once the result is written."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(nodes.join(sets.select("node", "low"), "node"), "wanted")
+    work.append(wanted)
     marks = wanted.select(F.xxhash64("low")).mapInArrow(_wanted_bits, "task long, slice int, value binary")
     shared = spark.sparkContext.broadcast(gathered(marks, _joined, (1 << WANTED_BITS) // 8))
     found = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_picked(shared), "doc_id long, packed binary")
@@ -434,17 +438,33 @@ def _walk(percent: int):
 def led(stars: DataFrame, sets: DataFrame, docs: DataFrame, k: int, repeated: bool, close: int) -> DataFrame:
     """(lead, node, n_lead, n, gone, new) of every set that is close to a leader: its own or its leader's,
     and the others it was compared with; three leaders of a set at most."""
-    both = written(compared(stars, sets, docs, k, repeated, close).filter("gone is not null"), "led1")
+    work: list[DataFrame] = []
+    both = written(compared(stars, sets, docs, k, repeated, work, close).filter("gone is not null"), "led1")
     nearest = both.groupBy("b").agg(F.max(F.struct("overlap", -F.col("a"))).alias("best")).select("b", (-F.col("best.col2")).alias("a"))
     own = both.join(nearest, ["a", "b"]).select(*both.columns)
     up = own.select(F.col("b").alias("a"), F.col("a").alias("top"))
     up = up.join(up.select(F.col("a").alias("top"), F.col("top").alias("more")), "top", "left").select("a", F.coalesce("more", "top").alias("top"))
     again = written(own.select("a", "b").join(up, "a").select(F.col("top").alias("a"), "b").filter("a <> b"), "again")
-    higher = written(compared(again, sets, docs, k, repeated, close).filter("gone is not null"), "led2")
+    higher = written(compared(again, sets, docs, k, repeated, work, close).filter("gone is not null"), "led2")
     rest = own.join(higher.select("b"), "b", "left_anti").select(*own.columns)
     first = higher.unionByName(rest)
     second = both.join(first.select("a", "b"), ["a", "b"], "left_anti").join(own.select("a", "b"), ["a", "b"], "left_anti").select(*own.columns)
-    return first.unionByName(second).select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n_a").alias("n_lead"), F.col("n_b").alias("n"), "gone", "new")
+    members = written(first.unionByName(second).select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("n_a").alias("n_lead"), F.col("n_b").alias("n"), "gone", "new"), "members")
+    discard(both, again, higher, *work)
+    return members
+
+
+def likely(stars: DataFrame, sets: DataFrame, lists: DataFrame, least: int, close: int) -> DataFrame:
+    """Of the comparisons (a, b) with leaders those that can pay: sizes let the similarity be ``close``
+    percent, and the two share ``least`` lists, as sets that link do. Others answer nothing, and
+    pairs that no leader answers are found by the lists themselves."""
+    size = sets.select("node", "n")
+    fit = stars.join(size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    fit = fit.filter(100 * F.least("n_a", "n_b") >= close * F.greatest("n_a", "n_b")).select("a", "b")
+    # the lists of a set are at most as many as its posted shingles
+    keys = lists.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    both = fit.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("keys_a")), "a").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("keys_b")), "b")
+    return both.filter(F.size(F.array_intersect("keys_a", "keys_b")) >= least).select("a", "b")
 
 
 def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -469,6 +489,7 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     postings = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.max("node").alias("other")).filter("size > 1")
     shared_lists = written(postings.join(lists, "key").select("key", "node", "n", "pos", "leader", "other", "size"), "lists")
+    discard(prefixes)
 
     # each set with the leader that most of its lists have, and with the first and the last set of its
     # longest lists: where one of them happens to be unlike the rest of its list, the other leads
@@ -483,7 +504,9 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
         F.max(F.when(F.col("last") & (F.col("rows") > 0), F.struct("rows", -F.col("leader")))).alias("final"),
     )
     stars = best.select(F.explode(F.array_distinct(F.array_compact(F.array(-F.col("most.col2"), -F.col("longest.col2"), -F.col("final.col2"))))).alias("a"), F.col("node").alias("b"))
-    members = written(led(written(stars, "stars"), sets, docs, n_words, repeated, CLOSE), "members")
+    stars = written(likely(stars, sets, shared_lists, shared_least, CLOSE), "stars")
+    members = led(stars, sets, docs, n_words, repeated, CLOSE)
+    discard(stars)
     none = F.array().cast("array<long>")
     leaders = members.groupBy("lead").agg(F.max("n_lead").alias("n_lead"), (F.count(F.lit(1)) + 1).alias("size"))
     whole = leaders.select("lead", F.col("lead").alias("node"), "n_lead", F.col("n_lead").alias("n"), none.alias("gone"), none.alias("new"))
@@ -503,8 +526,10 @@ def similar_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = P
     order = ["key", "i", "j", "n", "pos", "comp", *_LEADS, "chunk", "node"]
     walked = dealt.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_walk(percent), "a long, b long")
     pairs = written(walked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= shared_least).select("a", "b"), "pairs")
-    late = compared(pairs, sets, docs, n_words, repeated).filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
+    work: list[DataFrame] = []
+    late = compared(pairs, sets, docs, n_words, repeated, work).filter(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
     labels = components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late.select("a", "b")))
+    discard(early, pairs, shared_lists, members, *work)
 
     # labels of sets, then of rows
     noded = sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
