@@ -1,13 +1,20 @@
 """Operator 6: main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. Lines of page furniture (navigation,
-page headers and footers, side bars, notices, adverts, forms, reader comments, scripts, styles)
-are left out; lines that are mostly links count as empty; where the page marks its article
-(``article`` or ``main``), lines outside it count as empty as well. The text lengths of ``WINDOW``
-lines are summed from every line on: a surge is a line at which the sum rises to the bar, a dive
-the next at which it falls to zero. The text between surge and dive is kept. In a marked article
-any text is a surge and every stretch is kept; elsewhere the bar is ``SURGE`` characters, and each
-stretch that reaches it is kept. Furniture leaves no lines, so text goes on behind it.
+Markup is stripped to lines, one for each block element, and every line gets a weight: the length of
+its text outside links. The weights of ``WINDOW`` lines are summed from every line on. A surge is a
+line with weight at which the sum reaches the bar, a dive the next line at which the sum is zero; the
+text from surge to dive is kept, lines without weight between them included. So a run of menu entries
+or of links to other stories has no surge and ends a stretch, while one or two linked lines inside
+an article stay in it.
+
+Markup is evidence for the weights, not the decision. Scripts, styles and what its element or role
+declares to be furniture (navigation, page headers and footers, side bars, hidden parts) leave no
+line. Where the page marks its article (``article`` or ``main``), lines outside have no weight, lines
+inside have the weight of their whole text unless they are list entries of links only, and the bar is
+one character; elsewhere the bar is ``SURGE``. Classes and ids that sound like adverts, notices,
+comments and the like, and forms, are doubtful, as such names also stand on wrappers of whole pages:
+lines get as their level the number of doubtful elements around them, and of the levels the lowest
+one counts at which the lines up to that level have a surge.
 
 Defined results: null or empty html gives an empty text; markup that is not closed ends with its
 parent or the page; repeated rows give one result row each; null ids and urls are kept; an empty
@@ -19,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,6 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import small_batches, table
 
 WINDOW, SURGE = 3, 80
-#: Share of link text from which a line counts as a menu entry.
-LINKS = 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -41,9 +47,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
-#: Elements of page furniture, roles and words in classes and ids that mark it (fixed values).
-FURNITURE = frozenset("nav footer aside form button menu dialog head".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Elements of page furniture, roles and words in classes and ids that hint at it (fixed values).
+FURNITURE = frozenset("nav footer aside button menu dialog head".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer "
     "cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment "
@@ -54,36 +60,77 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+ENTRIES = frozenset("li dd dt td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _judged(name: str, attrs: str, in_article: bool) -> str:
+    """What an element is by its name and attributes: furniture, doubtful or (empty) text."""
     if name in FURNITURE or (name == "header" and not in_article):
-        return True
-    if not attrs or name in ("html", "body", "main"):
-        return False
+        return "furniture"
+    if name in ("html", "body", "main"):
+        return ""
+    doubt = "doubtful" if name == "form" else ""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "furniture"
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return "furniture"
+        if key == "role" and value == "form":
+            doubt = "doubtful"
         if key in ("class", "id"):
             marks = COMMENTS if name == "article" else MARKS
             if not marks.isdisjoint(_PARTS.findall(value)) or (name != "article" and not in_article and "header" in _PARTS.findall(value)):
-                return True
-    return False
+                doubt = "doubtful"
+    return doubt
+
+
+@dataclass
+class Lines:
+    """Lines of a page in order: text, characters outside links, doubtful elements around it, whether
+    it is in a marked article, and whether it is an entry of a list or table."""
+
+    text: list[str] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)
+    level: list[int] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
+    entry: list[bool] = field(default_factory=list)
+
 
+class _Doubts:
+    """Doubtful elements that are open, outermost first: name and how many of that name are open in it."""
 
-def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
-    """Text of each line (empty for menus, none for furniture), whether it is in a marked article, and whether there is one."""
-    lines: list[str] = []
-    inside: list[bool] = []
+    def __init__(self):
+        self.open: list[list] = []
+
+    def opened(self, name: str) -> None:
+        if name in BLOCKS and self.open and self.open[-1][0] == "p":  # a paragraph ends where a block begins
+            self.open.pop()
+        for e in reversed(self.open):
+            if e[0] == name:
+                e[1] += 1
+                break
+
+    def closed(self, name: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == name:
+                self.open[i][1] -= 1
+                if not self.open[i][1]:
+                    del self.open[i:]
+                break
+
+
+def lines_of(page: str) -> tuple[Lines, bool]:
+    """The lines of a page, none for furniture, and whether it marks an article."""
+    out, doubts = Lines(), _Doubts()
     text: list[str] = []
     linked = 0
     in_link = 0
     article = 0  # depth of article and main
     marked = False
+    entry = False
+    within = 0  # doubtful elements that were open where the article began
     skip, depth, skip_in, nested = "", 0, False, 0
 
     def end_line() -> None:
@@ -94,10 +141,11 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
                 raw = entities.unescape(raw)
             line = " ".join(raw.split())
             if line:
-                if not article and linked > LINKS * len(line):
-                    line = ""
-                lines.append(line)
-                inside.append(article > 0)
+                out.text.append(line)
+                out.plain.append(max(0, len(line) - linked))
+                out.level.append(len(doubts.open) - (within if article else 0))
+                out.inside.append(article > 0)
+                out.entry.append(entry)
             text.clear()
         linked = 0
 
@@ -119,7 +167,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
             if name == skip and not attrs.rstrip().endswith("/"):
                 depth += -1 if closing else 1
             ends = depth == 0
-            if not ends and not closing and not marked and (name == "main" or name == "article" and not _is_furniture(name, attrs, False)) or name == "body" and (closing or skip == "head"):
+            if not ends and not closing and not marked and (name == "main" or name == "article" and not _judged(name, attrs, False)) or name == "body" and (closing or skip == "head"):
                 ends = True
                 if name != skip:
                     depth = 0
@@ -133,25 +181,40 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
                 continue
         if name in BLOCKS:
             end_line()
+            entry = name in ENTRIES and not closing or entry and name not in ENTRIES and name not in ("ul", "ol", "dl", "table")
         elif name == "br":
             text.append(" ")
         if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
-            elif name in ("article", "main"):
-                article = max(0, article - 1)
+            before = len(doubts.open)
+            doubts.closed(name)
+            if name in ("article", "main") and article and len(doubts.open) == before:
+                article -= 1
+                if not article:
+                    del doubts.open[within:]  # what was not closed inside ends with the article
             continue
         if name in VOID or attrs.endswith("/"):
             continue
-        if _is_furniture(name, attrs, article > 0):
+        kind = _judged(name, attrs, article > 0)
+        if kind == "furniture":
             end_line()
             skip, depth, skip_in, nested = name, 1, article > 0, 0
             continue
+        if kind == "doubtful":
+            end_line()
+            if doubts.open and doubts.open[-1][0] == "p" and name in BLOCKS:
+                doubts.open.pop()
+            doubts.open.append([name, 1])
+        else:
+            doubts.opened(name)
+            if name in ("article", "main"):
+                if not article:
+                    within = len(doubts.open)
+                article += 1
+                marked = True
         if name == "a":
             in_link = 1
-        elif name in ("article", "main"):
-            article += 1
-            marked = True
         elif name in BLOCKS:
             in_link = 0
     if at < len(page) and not skip:
@@ -159,20 +222,20 @@ def lines_of(page: str) -> tuple[list[str], list[bool], bool]:
         cut = rest.rfind("<")  # a tag that is cut off at the end of the page
         text.append(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
     end_line()
-    return lines, inside, marked
+    return out, marked
 
 
-def stretches(lengths: np.ndarray, bar: int) -> list[tuple[int, int]]:
-    """Surges and dives: first line whose window reaches the bar, first later line whose window is empty."""
-    padded = np.concatenate([lengths, np.zeros(WINDOW, dtype=lengths.dtype)])
+def stretches(weights: np.ndarray, bar: int) -> list[tuple[int, int]]:
+    """Surges and dives: a line with weight whose window reaches the bar, the next line whose window is empty."""
+    padded = np.concatenate([weights, np.zeros(WINDOW, dtype=weights.dtype)])
     total = np.concatenate([[0], np.cumsum(padded)])
-    window = total[WINDOW:][: len(lengths)] - total[: len(lengths)]
+    window = total[WINDOW:][: len(weights)] - total[: len(weights)]
     out, i = [], 0
-    high, empty = np.flatnonzero(window >= bar), np.flatnonzero(window == 0)
+    high, empty = np.flatnonzero((window >= bar) & (weights > 0)), np.flatnonzero(window == 0)
     while (k := np.searchsorted(high, i)) < len(high):
         surge = int(high[k])
         d = np.searchsorted(empty, surge)
-        dive = int(empty[d]) if d < len(empty) else len(lengths)
+        dive = int(empty[d]) if d < len(empty) else len(weights)
         out.append((surge, dive))
         i = dive + 1
     return out
@@ -181,12 +244,20 @@ def stretches(lengths: np.ndarray, bar: int) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, inside, marked = lines_of(page)
-    lengths = np.array([len(x) if not marked or i else 0 for x, i in zip(lines, inside, strict=True)], dtype=np.int64)
-    if not lengths.any():
+    lines, marked = lines_of(page)
+    if not lines.text:
         return ""
-    found = stretches(lengths, 1 if marked else SURGE) or stretches(lengths, 1)
-    return " ".join(lines[i] for a, b in found for i in range(a, b) if lengths[i])
+    length, plain, level = np.array([len(x) for x in lines.text]), np.array(lines.plain), np.array(lines.level)
+    inside, entry = np.array(lines.inside), np.array(lines.entry)
+    marked = marked and bool(inside.any())
+    weight = np.where(inside, np.where(entry & (plain == 0), 0, length), 0) if marked else plain
+    for bar in (1,) if marked else (SURGE, 1):
+        for most in range(int(level.max()) + 1):
+            own = np.flatnonzero(level <= most)
+            found = stretches(weight[own], bar)
+            if found:
+                return " ".join(lines.text[own[i]] for a, b in found for i in range(a, b) if inside[own[i]] or not marked)
+    return ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
