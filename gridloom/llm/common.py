@@ -65,3 +65,17 @@ def load_tokenizer(name: str):
     tok.no_truncation()
     tok.no_padding()
     return tok
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or it with a number, such that df has no column of it."""
+    taken, out, n = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of another table, whatever their names hold."""
+    return df.select(*("`" + c.replace("`", "``") + "`" for c in like.columns))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from gridloom.llm.common import crc_bucket, small_batches, table
 
@@ -174,7 +175,7 @@ def logits_of(model: LanguageModel, texts: list[str]) -> np.ndarray:
     return sums / np.maximum(n, 1)[:, None] + model.bias
 
 
-def _predict(shared):
+def _predict(shared, names: tuple[str, str, str]):
     import regex
 
     letter = regex.compile(r"\p{L}")
@@ -192,19 +193,20 @@ def _predict(shared):
                 ok[at] = score[at] >= model.reject_below
                 for i, k in zip(at, p.argmax(1), strict=True):
                     langs[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(score), pa.array(ok)], [*batch.schema.names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(score), pa.array(ok)], [*batch.schema.names, *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """All columns of docs (with a column text), and lang_pred, score and accepted."""
+def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """All columns of docs (with a column text), and what is predicted under three names; columns of docs
+    that have one of these names are left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    clash = [c for c in docs.columns if c in ("lang_pred", "score", "accepted")]
-    docs = docs.drop(*clash)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, accepted boolean"])
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in names}))
+    kinds = (StringType(), DoubleType(), BooleanType())
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, kinds, strict=True))])
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), names), schema)
 
 
 def trained(spark, sf_dir: str) -> LanguageModel | None:

@@ -20,7 +20,9 @@ are rounded as documents of their own; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import zlib
 
 import numpy as np
@@ -144,22 +146,23 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
     """The documents, each as often as the mix takes it.
 
     Rows of one id, source and text are taken equally often or once more; the ones more are dealt over them."""
-    per = mixed.groupBy(*(F.col(k).alias("_" + k) for k in _KEY)).agg(F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    per = per.withColumn("_more", F.col("_all") - F.col("_n") * F.col("_least")).drop("_all", "_n").filter("_least > 0 or _more > 0")
-    keyed = docs.select("*", *(c.alias("_k_" + k) for k, c in zip(_KEY, _keys(id_col, text_col, source_col), strict=True)))
-    same = None
-    for k in _KEY:
-        one = F.col("_k_" + k).eqNullSafe(F.col("_" + k))
-        same = one if same is None else same & one
+    # a row is one value of its own here, so that no column of it can have the name of another one
+    whole = F.struct(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
+    keys = dict(zip(_KEY, _keys(id_col, text_col, source_col), strict=True))
+    keyed = docs.select(whole.alias("row"), *(c.alias("k_" + k) for k, c in keys.items()))
+    per = mixed.groupBy(*(F.col(k).alias("m_" + k) for k in _KEY)).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("more", F.col("all") - F.col("n") * F.col("least")).drop("all", "n").filter("least > 0 or more > 0")
+    same = functools.reduce(operator.and_, (F.col("k_" + k).eqNullSafe(F.col("m_" + k)) for k in _KEY))
     found = keyed.join(per, same)
-    each = found.filter("_least > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_least").cast("int")))).select(*docs.columns)
+    each = found.filter("least > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("least").cast("int")))).select("row")
     # equal rows are counted before anything is dealt to them, so that no task holds all rows of a key
-    kinds = found.filter("_more > 0").groupBy(*docs.columns, *("_k_" + k for k in _KEY), "_more").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*("_k_" + k for k in _KEY)).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = kinds.withColumn("_take", F.least(F.col("_m"), F.col("_more") - F.coalesce(F.sum("_m").over(before), F.lit(0)))).filter("_take > 0")
-    lots = dealt.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_take") - 1) / CHUNK)))).withColumn("_here", F.least(F.lit(CHUNK).cast("long"), F.col("_take") - F.col("_lot") * CHUNK))
-    more = lots.repartition(*("_k_" + k for k in _KEY), "_lot").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_here")))).select(*docs.columns)
-    return each.unionByName(more)
+    own = ["k_" + k for k in _KEY]
+    kinds = found.filter("more > 0").groupBy("row", *own, "more").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy(*own).orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = kinds.withColumn("take", F.least(F.col("m"), F.col("more") - F.coalesce(F.sum("m").over(before), F.lit(0)))).filter("take > 0")
+    lots = dealt.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1) / CHUNK)))).withColumn("here", F.least(F.lit(CHUNK).cast("long"), F.col("take") - F.col("lot") * CHUNK))
+    more = lots.repartition(*own, "lot").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("here")))).select("row")
+    return each.unionByName(more).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

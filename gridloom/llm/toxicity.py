@@ -7,10 +7,11 @@ with the label (G statistic) are kept, ``MAX_FEATURES`` at most. A logistic regr
 fitted by stochastic gradient descent. For each sampled text that names a group of people, versions
 with the group's name exchanged for another of the same kind are made, and the squared change of
 the score is penalised: a neutral mention of a group then moves no score, whatever the sample's
-toxic texts happen to name.
+toxic texts happen to name. The names are a parameter; where no sampled text has one, as in invented
+prose, the penalty has nothing to act on and the fit is a plain logistic regression.
 
-Defined results: null and empty texts get the score of no features; with no labelled row, or only
-one class, every score is the share of toxic rows (0 without rows); several labels of a document
+Defined results: null and empty texts get the score of no features; where all labelled rows are of one
+class every score is next to that class (0 without labelled rows); several labels of a document
 count as toxic if one is; repeated rows give one result row each; a null id is kept and never
 learned from; an empty table gives no rows; other columns are ignored.
 """
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import crc_bucket, small_batches, table
 
@@ -54,8 +56,9 @@ GROUPS = (
     ("musulmanes", "cristianos", "judíos", "ateos"),
 )
 
+Groups = tuple[tuple[str, ...], ...]
+
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
-_SWAPS = {a.encode(): [b.encode() for b in g if b != a] for g in GROUPS for a in g}
 
 
 @dataclass
@@ -90,8 +93,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _vectors(shared):
+def swaps(groups: Groups) -> dict[bytes, list[bytes]]:
+    """For each name (one word, lower case) the others of its row."""
+    return {a.lower().encode(): [b.lower().encode() for b in g if b != a] for g in groups for a in g}
+
+
+def _vectors(shared, groups: Groups):
     """Feature numbers of a sampled text, and of its versions with group names exchanged."""
+    exchange = swaps(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -99,8 +108,8 @@ def _vectors(shared):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = words(text)
                 rows = [_numbers(own, known)]
-                for w in sorted(own & _SWAPS.keys()):
-                    rows += [_numbers(own - {w} | {other}, known) for other in _SWAPS[w]]
+                for w in sorted(own & exchange.keys()):
+                    rows += [_numbers(own - {w} | {other}, known) for other in exchange[w]]
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([rows[0].tobytes()] * k, pa.binary()), pa.array([int(toxic)] * k, pa.int32()), pa.array([i > 0 for i in range(k)])], ["x", "base", "toxic", "exchanged"])
 
@@ -111,8 +120,9 @@ def _numbers(own: set[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array(sorted({known[f] for w in own for f in of_word(w) if f in known}), dtype=np.int32)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> ToxicityModel:
-    """docs: doc_id and text; labels: doc_id and toxic (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 8, groups: Groups = GROUPS, penalty: float = COUNTERFACTUAL) -> ToxicityModel:
+    """docs: doc_id and text; labels: doc_id and toxic (0 or 1); groups: names that stand for one another;
+    penalty: weight of changed scores (0: a plain logistic regression)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
@@ -141,15 +151,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, se
     g = 2 * (term(a, (a + b) * (pos / total)) + term(b, (a + b) * (neg / total)) + term(F.lit(pos) - a, (F.lit(total) - a - b) * (pos / total)) + term(F.lit(neg) - b, (F.lit(total) - a - b) * (neg / total)))
     best = df.filter(a + b >= LEAST_DOCS).withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").collect()
     known = {bytes(r["feature"]): i for i, r in enumerate(best)}
-    found = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(known)), "x binary, base binary, toxic int, exchanged boolean").collect()
+    found = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(known), groups if penalty else ()), "x binary, base binary, toxic int, exchanged boolean").collect()
     found.sort(key=lambda r: (r["exchanged"], r["toxic"], bytes(r["x"]), bytes(r["base"])))
     own = [(np.frombuffer(r["x"], np.int32), float(r["toxic"])) for r in found if not r["exchanged"]]
     pairs = [(np.setdiff1d(x, y), np.setdiff1d(y, x)) for r in found if r["exchanged"] for x, y in [(np.frombuffer(r["base"], np.int32), np.frombuffer(r["x"], np.int32))]]
-    return fit(known, own, [p for p in pairs if len(p[0]) or len(p[1])], seed)
+    return fit(known, own, [p for p in pairs if len(p[0]) or len(p[1])], seed, penalty)
+
 
+def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int, penalty: float = COUNTERFACTUAL) -> ToxicityModel:
+    """Adaptive stochastic gradient steps on the log loss plus the penalty on changed scores.
 
-def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int) -> ToxicityModel:
-    """Adaptive stochastic gradient steps on the log loss plus the penalty on changed scores."""
+    rows: feature numbers and label; pairs: features that an exchange of names takes away and adds. In
+    each epoch every pair is met once on average, however many there are to a row."""
     rng = np.random.default_rng(seed)
     w, seen, b = np.zeros(len(known)), np.ones(len(known)), -2.0
     each = len(pairs) / max(1, len(rows))
@@ -162,16 +175,17 @@ def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int) -> Toxicity
             seen[x] += grad * grad
             w[x] -= RATE * grad / np.sqrt(seen[x])
             b -= 0.02 * g
-            if pairs and rng.random() < each:
+            for _ in range(int(each + rng.random()) if pairs else 0):
                 gone, new = pairs[rng.integers(len(pairs))]
-                change = np.clip(w[gone].sum() - w[new].sum(), -5, 5)
-                step = 0.1 * COUNTERFACTUAL * change / max(1, len(gone) + len(new))
+                change = w[gone].sum() - w[new].sum()
+                # at most the step that brings the two scores together
+                step = min(1.0, penalty) * change / max(1, len(gone) + len(new))
                 w[gone] -= step
                 w[new] += step
     return ToxicityModel(known, w, float(b))
 
 
-def _score(shared):
+def _score(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         known, weights = model.features, model.weights.tolist()
@@ -189,18 +203,19 @@ def _score(shared):
                         hits.update(f)
                 scores.append(model.bias + sum(weights[i] for i in sorted(hits)))
             score = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of docs (with a column text), and score (0 to 1)."""
+def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """All columns of docs (with a column text), and the score (0 to 1) under a name; a column of docs
+    that has this name is left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), name), schema)
 
 
 def trained(spark, sf_dir: str) -> ToxicityModel:
