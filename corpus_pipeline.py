@@ -15,21 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, jaccard, language, mixing, toxicity
-from gridloom.llm.common import scratch_path, table, written
+from gridloom.llm.common import free_name, same_columns, scratch_path, table, written
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents with a score of 0.5 or more go."""
-    scored = toxicity.score(docs, toxicity.trained(spark, sf_dir))
-    return scored.filter(F.col("score") < 0.5).select(*docs.columns)
+    own = free_name(docs, "toxicity")
+    scored = toxicity.score(docs, toxicity.trained(spark, sf_dir), own)
+    return same_columns(scored.filter(F.col(own) < 0.5), docs)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents whose language is not recognised with the calibrated confidence go."""
-    predicted = language.predict(docs, language.trained(spark, sf_dir))
-    return predicted.filter("accepted").select(*docs.columns)
+    own = tuple(free_name(docs, name) for name in ("language", "confidence", "recognised"))
+    predicted = language.predict(docs, language.trained(spark, sf_dir), own)
+    return same_columns(predicted.filter(F.col(own[2])), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +40,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Where ids are null or repeat, rows get numbers of their own, and the first row of each component stays."""
     key, rows = "doc_id", docs
     if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
-        key = "_row"
+        key = free_name(docs, "row")
         rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = jaccard.similar_components(rows, NEAR_WORDS, NEAR_PERCENT, id_col=key)
     gone = found.filter("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(key))
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return same_columns(rows.join(gone, key, "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
