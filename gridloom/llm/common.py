@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridloom.session import discard, scratch_path, shared_dir, written  # noqa: F401
 
@@ -76,6 +78,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of another table, whatever their names hold."""
-    return df.select(*("`" + c.replace("`", "``") + "`" for c in like.columns))
+def same_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns by name, whatever the names hold."""
+    return df.select(*("`" + c.replace("`", "``") + "`" for c in columns))
+
+
+def with_columns_of(docs: DataFrame, run: Callable, fields: list[StructField]) -> DataFrame:
+    """docs with further columns: ``run(place of text)`` gives a function for mapInArrow that adds arrays to each batch.
+
+    Columns of docs travel under numbers, so their names may hold anything, and those of the further
+    columns replace them."""
+    names = {f.name.lower() for f in fields}
+    kept = same_columns(docs, [c for c in docs.columns if c.lower() not in names])
+    numbered = kept.toDF(*(f"c{i}" for i in range(len(kept.columns))))
+    more = [StructField(f"more{i}", f.dataType) for i, f in enumerate(fields)]
+    out = numbered.mapInArrow(run(kept.columns.index("text")), StructType([*numbered.schema.fields, *more]))
+    return out.toDF(*kept.columns, *(f.name for f in fields))
+
+
+def with_arrays(batch: pa.RecordBatch, *arrays: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f"more{i}" for i in range(len(arrays)))])

@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from gridloom.llm.common import crc_bucket, small_batches, table
+from gridloom.llm.common import crc_bucket, small_batches, table, with_arrays, with_columns_of
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.1
 SAMPLE_DOCS = 4000
@@ -175,7 +175,7 @@ def logits_of(model: LanguageModel, texts: list[str]) -> np.ndarray:
     return sums / np.maximum(n, 1)[:, None] + model.bias
 
 
-def _predict(shared, names: tuple[str, str, str]):
+def _predict(shared, place: int):
     import regex
 
     letter = regex.compile(r"\p{L}")
@@ -183,7 +183,7 @@ def _predict(shared, names: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             known = np.array([bool(letter.search(t)) for t in texts], dtype=bool) & (model is not None)
             langs, score, ok = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             at = np.flatnonzero(known)
@@ -193,7 +193,7 @@ def _predict(shared, names: tuple[str, str, str]):
                 ok[at] = score[at] >= model.reject_below
                 for i, k in zip(at, p.argmax(1), strict=True):
                     langs[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(score), pa.array(ok)], [*batch.schema.names, *names])
+            yield with_arrays(batch, pa.array(langs), pa.array(score), pa.array(ok))
 
     return run
 
@@ -203,10 +203,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str,
     that have one of these names are left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in names}))
+    shared = spark.sparkContext.broadcast(model)
     kinds = (StringType(), DoubleType(), BooleanType())
-    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, kinds, strict=True))])
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), names), schema)
+    return with_columns_of(docs, lambda at: _predict(shared, at), [StructField(n, t) for n, t in zip(names, kinds, strict=True)])
 
 
 def trained(spark, sf_dir: str) -> LanguageModel | None:

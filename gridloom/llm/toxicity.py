@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from gridloom.llm.common import crc_bucket, small_batches, table
+from gridloom.llm.common import crc_bucket, small_batches, table, with_arrays, with_columns_of
 
 SAMPLE_DOCS = 12_000
 MAX_FEATURES = 20_000
@@ -185,13 +185,13 @@ def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int, penalty: fl
     return ToxicityModel(known, w, float(b))
 
 
-def _score(shared, name: str):
+def _score(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         known, weights = model.features, model.weights.tolist()
         for batch in batches:
             scores = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(at).to_pylist():
                 hits: set[int] = set()
                 for w in words(text):
                     f = cache.get(w)
@@ -203,7 +203,7 @@ def _score(shared, name: str):
                         hits.update(f)
                 scores.append(model.bias + sum(weights[i] for i in sorted(hits)))
             score = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
+            yield with_arrays(batch, pa.array(score))
 
     return run
 
@@ -213,9 +213,8 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
     that has this name is left out."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), name), schema)
+    shared = spark.sparkContext.broadcast(model)
+    return with_columns_of(docs, lambda at: _score(shared, at), [StructField(name, DoubleType())])
 
 
 def trained(spark, sf_dir: str) -> ToxicityModel:
