@@ -24,14 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents with a score of 0.5 or more go."""
     own = free_name(docs, "toxicity")
     scored = toxicity.score(docs, toxicity.trained(spark, sf_dir), own)
-    return same_columns(scored.filter(F.col(own) < 0.5), docs)
+    return same_columns(scored.filter(F.col(own) < 0.5), docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents whose language is not recognised with the calibrated confidence go."""
     own = tuple(free_name(docs, name) for name in ("language", "confidence", "recognised"))
     predicted = language.predict(docs, language.trained(spark, sf_dir), own)
-    return same_columns(predicted.filter(F.col(own[2])), docs)
+    return same_columns(predicted.filter(F.col(own[2])), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = jaccard.similar_components(rows, NEAR_WORDS, NEAR_PERCENT, id_col=key)
     gone = found.filter("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(key))
-    return same_columns(rows.join(gone, key, "left_anti"), docs)
+    return same_columns(rows.join(gone, key, "left_anti"), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
