@@ -2,14 +2,11 @@
 
 A text of up to ``leaf_chars`` characters is encoded as it is. A longer one is halved again and
 again until its parts are that short; the parts are rows of their own, are dealt to all executors
-and encoded in parallel. Halves are then joined pairwise up the tree:
-
-* where the cut lies before a space and a letter, after a character that is no white space, or
-  beside a special token, the tokenizer splits there in any context: the ids are concatenated;
-* elsewhere (long runs without such a place) the text of a window of ids around the join is encoded
-  again, and the window grows until its first ids are those of the left side and its last ids those
-  of the right side. A sequence of BPE tokens in which each neighbouring pair is the encoding of
-  its own text is the encoding of the whole, so agreement on both sides makes the join exact.
+and encoded in parallel. Halves are then joined pairwise up the tree: the text of a window of ids
+around the join is encoded again, and the window grows until its first ids are those of the left
+side and its last ids those of the right side. A sequence of BPE tokens in which each neighbouring
+pair is the encoding of its own text is the encoding of the whole, so agreement on both sides makes
+the join exact. A window reaches at least over the longest special token, which a cut may part.
 
 Ids are those of the tokenizers library. The byte-rank library gives the same ids for texts of
 characters on which all Unicode tables agree and is about three times as fast; it encodes those,
@@ -36,14 +33,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import load_tokenizer, row_ids, small_batches
 
 LEAF_CHARS = 32_768
-#: How far from the middle a place is sought at which the tokenizer splits in any context.
-REACH = 512
 #: Ids on each side of a join in the first window, and ids that must agree.
 WINDOW, AGREE = 8, 2
 
 #: Characters on which every Unicode version agrees, less odd controls.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]")
-_SAFE = re.compile(r"(?<=\S)(?= [A-Za-z])")
 
 #: The split pattern of this tokenizer family (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,8 +52,16 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pre = spec["pre_tokenizer"] or {}
         self.ranks = None
-        if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec["normalizer"] and not spec["model"].get("end_of_word_suffix"):
-            self.ranks = self._rank_encoding(spec["model"]["vocab"])
+        model = spec["model"]
+        plain_model = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and plain_model and self._by_rank(model):
+            self.ranks = self._rank_encoding(model["vocab"])
+
+    @staticmethod
+    def _by_rank(model: dict) -> bool:
+        """Whether ids of merged tokens follow the order of the merges, as the byte-rank library takes them to."""
+        made = [model["vocab"]["".join(m) if not isinstance(m, str) else m.replace(" ", "")] for m in model["merges"]]
+        return all(a < b for a, b in zip(made, made[1:], strict=False))
 
     def _rank_encoding(self, vocab: dict[str, int]):
         """The same vocabulary for the byte-rank library: ids follow the order of the merges."""
@@ -101,40 +103,18 @@ class Codec:
 
     # --- tree concatenation
 
-    def halves(self, text: str, leaf_chars: int) -> list[tuple[str, bool]]:
-        """Parts in order, each with whether the cut before it holds in any context."""
-        out: list[tuple[str, bool]] = []
-        todo = [(0, len(text), True)]
-        while todo:
-            a, b, safe = todo.pop()
-            if b - a <= leaf_chars:
-                out.append((text[a:b], safe))
-                continue
-            cut, kind = self._cut(text, a, b)
-            todo.append((cut, b, kind))
-            todo.append((a, cut, safe))
-        return out
+    def halves(self, text: str, leaf_chars: int) -> list[str]:
+        """Parts in order, from cuts in the middle."""
+        if len(text) <= leaf_chars:
+            return [text]
+        mid = len(text) // 2
+        return self.halves(text[:mid], leaf_chars) + self.halves(text[mid:], leaf_chars)
 
-    def _cut(self, text: str, a: int, b: int) -> tuple[int, bool]:
-        mid, reach = (a + b) // 2, min(REACH, (b - a) // 4)
-        longest = max(map(len, self.special), default=0)
-        best = None
-        for m in _SAFE.finditer(text, mid - reach, mid + reach):
-            if best is None or abs(m.start() - mid) < abs(best - mid):
-                best = m.start()
-        if best is not None:
-            return best, True
-        for s in self.special:
-            at = text.find(s, max(a + 1, mid - longest), mid + longest)
-            if at >= 0 and at < mid < at + len(s):
-                return at, True
-        return mid, False
-
-    def join(self, left: list[int], right: list[int], safe: bool) -> list[int]:
+    def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of the concatenated texts from the ids of both."""
-        if safe or not left or not right:
+        if not left or not right:
             return left + right
-        w = WINDOW
+        w = max(WINDOW, max(map(len, self.special), default=0) + AGREE)
         while True:
             i, j = max(0, len(left) - w), min(len(right), w)
             i, j = self._whole(left, i), self._whole_end(right, j)
@@ -155,17 +135,12 @@ class Codec:
             j += 1
         return j
 
-    def tree(self, parts: list[tuple[list[int], bool]]) -> list[int]:
+    def tree(self, parts: list[list[int]]) -> list[int]:
         """Joins neighbours level by level."""
         while len(parts) > 1:
-            up = []
-            for k in range(0, len(parts) - 1, 2):
-                (left, safe), (right, cut) = parts[k], parts[k + 1]
-                up.append((self.join(left, right, cut), safe))
-            if len(parts) % 2:
-                up.append(parts[-1])
-            parts = up
-        return parts[0][0] if parts else []
+            up = [self.join(parts[k], parts[k + 1]) for k in range(0, len(parts) - 1, 2)]
+            parts = up + parts[len(up) * 2 :]
+        return parts[0] if parts else []
 
 
 @functools.lru_cache(maxsize=1)
@@ -220,7 +195,7 @@ def _parts(name: str, leaf_chars: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts, row = c.halves(text, leaf_chars), next(number)
                 k = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([s for _, s in parts]), pa.array([t for t, _ in parts], pa.string())], ["row_id", "doc_id", "part", "safe", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.string())], ["row_id", "doc_id", "part", "text"])
 
     return run
 
@@ -231,8 +206,8 @@ def _encode_parts(name: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 some = batch.slice(at, 16)
-                ids = [np.asarray(x, dtype=np.int32).tobytes() for x in c.encode(some.column(4).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(ids, pa.binary())], ["row_id", "doc_id", "part", "safe", "ids"])
+                ids = [np.asarray(x, dtype=np.int32).tobytes() for x in c.encode(some.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(ids, pa.binary())], ["row_id", "doc_id", "part", "ids"])
 
     return run
 
@@ -241,7 +216,7 @@ def _join_parts(name: str, output: str):
     def run(key, part):
         c = codec(name)
         part = part.sort_values("part")
-        ids = c.tree([(np.frombuffer(b, dtype=np.int32).tolist(), bool(s)) for b, s in zip(part["ids"], part["safe"], strict=True)])
+        ids = c.tree([np.frombuffer(b, dtype=np.int32).tolist() for b in part["ids"]])
         doc = part["doc_id"].iloc[0]
         return _results(c, [None if pd.isna(doc) else int(doc)], [ids], output).to_pandas()
 
@@ -254,8 +229,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, output: str = "ids", id_c
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     long = F.length("text") > leaf_chars
     short = texts.filter(~F.coalesce(long, F.lit(False))).mapInArrow(_short(tokenizer, output), SCHEMAS[output])
-    parts = texts.filter(long).mapInArrow(_parts(tokenizer, leaf_chars), "row_id long, doc_id long, part int, safe boolean, text string")
-    encoded = parts.repartition("row_id", "part").mapInArrow(_encode_parts(tokenizer), "row_id long, doc_id long, part int, safe boolean, ids binary")
+    parts = texts.filter(long).mapInArrow(_parts(tokenizer, leaf_chars), "row_id long, doc_id long, part int, text string")
+    encoded = parts.repartition("row_id", "part").mapInArrow(_encode_parts(tokenizer), "row_id long, doc_id long, part int, ids binary")
     joined = encoded.groupBy("row_id").applyInPandas(_join_parts(tokenizer, output), SCHEMAS[output])
     return short.unionByName(joined)
 
