@@ -9,10 +9,15 @@ all code words are one small table; the score of a row is the sum of its codes'
 stored ratio. In every tile of a query block and a shard the ``RERANK`` best rows by that score are
 scored again exactly, in double precision on the original vectors, and the exact lists are merged in a tree.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components, rows
-without an id, and vectors of another length than the most common one take no part; of rows that
-repeat an id the smallest vector counts; ties go to the smaller id; an empty table, or one row,
-gives no rows; other columns are ignored.
+The exact work is ``RERANK`` rows of every ``SHARD_ROWS`` for each query, so it grows with the table
+as the table scores do, at a fixed share of them.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows
+without an id take no part; vectors are compared with those of their own length, those of another
+length than the most common one exactly, as they have no code words; rows that repeat an id are
+candidates each for themselves, but never for a query of their id, and of queries that repeat an id
+the one with the smallest vector asks; ties go to the smaller id; an empty table, or one row, gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import small_batches, table
-from gridloom.llm.vectors import best, by_tile, common_length, matrix, merged, tiles, unique_rows, usable
+from gridloom.llm.vectors import AT_ONCE, QUERY_ROWS, SHARD_ROWS, best, by_tile, common_length, first_of_each, matrix, merged, sorted_rows, tiles, usable
 
 STAGES, WORDS, BEAM = 16, 256, 4
 SAMPLE_ROWS = 16_384
@@ -128,29 +133,33 @@ def _index(shared, dim: int):
     return run
 
 
-def _search(shared, k: int, rerank: int, dim: int):
+def _search(shared, k: int, rerank: int):
     def run(ask, data):
         words = shared.value.words
         m = len(words)
-        q_ids, q = unique_rows(ask.column("vec_id").to_numpy(), matrix(ask.column("v"), dim))
-        codes = np.frombuffer(b"".join(data.column("codes").to_pylist()), np.uint8).reshape(-1, m)
-        ids, v, codes, ratio = unique_rows(data.column("vec_id").to_numpy(), matrix(data.column("v"), dim), codes, data.column("ratio").to_numpy())
+        q_ids, q = first_of_each(*sorted_rows(ask))
+        ids, v, packed, ratio = sorted_rows(data, "codes", "ratio")
+        coded = v.shape[1] == words.shape[2]
+        if coded:
+            codes, ratio = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, m), ratio.astype(np.float32)
         out_q, out_v, out_s = [], [], []
-        for at in range(0, len(q_ids), 256):
-            some = q[at : at + 256].astype(np.float32)
-            near = np.zeros((len(ids), len(some)), np.float32)
-            for j in range(m):
-                near += (words[j] @ some.T)[codes[:, j]]  # the lookup table of stage j, a row for each word
-            near *= ratio[:, None].astype(np.float32)
-            near = np.ascontiguousarray(near.T)
-            for i in range(len(some)):
-                found = best(near[i], rerank + 1)
-                found = found[ids[found] != q_ids[at + i]]
+        own, end = np.searchsorted(ids, q_ids), np.searchsorted(ids, q_ids, side="right")
+        for at in range(0, len(q_ids), AT_ONCE):
+            if coded:
+                some = q[at : at + AT_ONCE].astype(np.float32)
+                near = np.zeros((len(ids), len(some)), np.float32)
+                for j in range(m):
+                    near += (words[j] @ some.T)[codes[:, j]]  # the lookup table of stage j, a row for each word
+                near *= ratio[:, None]
+                near = np.ascontiguousarray(near.T)
+            for i in range(at, min(at + AT_ONCE, len(q_ids))):
+                found = best(near[i - at], rerank + end[i] - own[i]) if coded else np.arange(len(ids))
+                found = found[ids[found] != q_ids[i]]
                 # exactly, in double precision
-                score = (v[found] * q[at + i]).sum(1)
+                score = (v[found] * q[i]).sum(1)
                 found_ids = ids[found]
                 first = np.lexsort((found_ids, -score))[:k]
-                out_q.append(np.full(len(first), q_ids[at + i]))
+                out_q.append(np.full(len(first), q_ids[i]))
                 out_v.append(found_ids[first])
                 out_s.append(score[first])
         return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
@@ -158,23 +167,27 @@ def _search(shared, k: int, rerank: int, dim: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, rerank: int = RERANK) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, rerank: int = RERANK,
+    query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found by inner product; is_query refers to vec_id."""
     spark = vectors.sparkSession
     small_batches(spark, 2000)
     rows = usable(vectors, id_col, vector_col, zero=False)
     dim, n = common_length(rows)
-    rows = rows.filter(F.size("v") == dim)
-    n_queries = rows.filter(is_query).count()
+    n_all, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     if not n_queries:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    common = rows.filter(F.size("v") == dim)
     draw = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = sorted((r["vec_id"], r["v"]) for r in rows.filter(draw < min(1.0, sample_rows / n)).collect())
-    sample = sample or sorted((r["vec_id"], r["v"]) for r in rows.limit(WORDS).collect())
+    sample = sorted((r["vec_id"], r["v"]) for r in common.filter(draw < min(1.0, sample_rows / n)).collect())
+    sample = sample or sorted((r["vec_id"], r["v"]) for r in common.limit(WORDS).collect())
     shared = spark.sparkContext.broadcast(train(np.array([v for _, v in sample])))
-    index = rows.mapInArrow(_index(shared, dim), "vec_id long, v array<double>, codes binary, ratio double")
-    tiled, shards = tiles(index, is_query, n, n_queries)
-    return merged(by_tile(tiled, _search(shared, k, rerank, dim), "double"), k, shards)
+    index = common.mapInArrow(_index(shared, dim), "vec_id long, v array<double>, codes binary, ratio double")
+    index = index.unionByName(rows.filter(F.size("v") != dim), allowMissingColumns=True)
+    tiled, shards = tiles(index, rows.filter(is_query), n_all, n_queries, query_rows, shard_rows)
+    return merged(by_tile(tiled, _search(shared, k, rerank), "double"), k, shards)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

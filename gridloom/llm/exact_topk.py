@@ -1,14 +1,15 @@
 """Operator 9: exact top-k search by tiled matrix products.
 
-Components become floor(256 * x). Query blocks meet shards in tiles of bounded size; a tile is one
-matrix product, from which each query's k best are selected, and the lists of the tiles are merged
+Components become floor(256 * x). Query blocks meet shards in tiles of bounded size; a tile is
+matrix products, from which each query's k best are selected, and the lists of the tiles are merged
 in a tree. Products and sums are exact: they are formed in doubles where no sum can reach 2^53, and
-in whole numbers elsewhere (a score beyond a long is cut to its range).
+in whole numbers elsewhere; a score beyond a long is an error.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components, rows without
-an id, and vectors of another length than the most common one take no part; of rows that repeat an
-id the smallest vector counts; ties go to the smaller id; an empty table, or one row, gives no
-rows; other columns are ignored.
+Defined results: vectors that are null, empty, or hold null or non-finite components, and rows without
+an id take no part; vectors are compared with those of their own length; rows that repeat an id are
+candidates each for themselves, but never for a query of their id, and of queries that repeat an id
+the one with the smallest vector asks; ties go to the smaller id; an empty table, or one row, gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
-from gridloom.llm.vectors import best, by_tile, common_length, matrix, merged, tiles, unique_rows, usable
+from gridloom.llm.vectors import AT_ONCE, QUERY_ROWS, SHARD_ROWS, best, by_tile, first_of_each, merged, sorted_rows, tiles, usable
 
 SCALE = 256.0
 
@@ -28,40 +29,42 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     bound = (np.abs(a).max() if a.size else 0) * (np.abs(b).max() if b.size else 0) * max(1, a.shape[1])
     if bound < 2**53:
         return a @ b.T
-    low, high = -(2**63), 2**63 - 1
     rows, columns = [list(map(int, r)) for r in a], [list(map(int, r)) for r in b]
-    return np.array([[max(low, min(high, sum(x * y for x, y in zip(r, c, strict=True)))) for c in columns] for r in rows], dtype=np.int64)
+    exact = [[sum(x * y for x, y in zip(r, c, strict=True)) for c in columns] for r in rows]
+    if any(not -(2**63) <= x < 2**63 for r in exact for x in r):
+        raise OverflowError("a score does not fit into a long")
+    return np.array(exact, dtype=np.int64).reshape(len(rows), len(columns))
 
 
-def _search(k: int, dim: int):
+def _search(k: int):
     def run(ask, data):
-        q_ids, q = unique_rows(ask.column("vec_id").to_numpy(), matrix(ask.column("v"), dim))
-        ids, v = unique_rows(data.column("vec_id").to_numpy(), matrix(data.column("v"), dim))
-        scores = products(np.floor(SCALE * q), np.floor(SCALE * v))
+        q_ids, q = first_of_each(*sorted_rows(ask))
+        ids, v = sorted_rows(data)
+        v = np.floor(SCALE * v)
         out_q, out_v, out_s = [], [], []
-        own = np.searchsorted(ids, q_ids)
-        for i in range(len(q_ids)):
-            row = scores[i]
-            at = best(row, k + 1)
-            at = at[ids[at] != q_ids[i]] if own[i] < len(ids) and ids[own[i]] == q_ids[i] else at
-            if len(at) > k:
-                at = at[np.lexsort((ids[at], -row[at]))[:k]]
-            out_q.append(np.full(len(at), q_ids[i]))
-            out_v.append(ids[at])
-            out_s.append(row[at].astype(np.int64))
+        own, end = np.searchsorted(ids, q_ids), np.searchsorted(ids, q_ids, side="right")
+        for low in range(0, len(q_ids), AT_ONCE):
+            scores = products(np.floor(SCALE * q[low : low + AT_ONCE]), v)
+            for i, row in enumerate(scores, low):
+                at = best(row, k + end[i] - own[i])
+                at = at[ids[at] != q_ids[i]]
+                if len(at) > k:
+                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                out_q.append(np.full(len(at), q_ids[i]))
+                out_v.append(ids[at])
+                out_s.append(row[at].astype(np.int64))
         return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score (long) of each query's k best; is_query refers to vec_id."""
     rows = usable(vectors, id_col, vector_col, zero=True)
-    dim, n = common_length(rows)
-    rows = rows.filter(F.size("v") == dim)
-    n_queries = rows.filter(is_query).count()
-    tiled, shards = tiles(rows, is_query, n, n_queries)
-    return merged(by_tile(tiled, _search(k, dim), "long"), k, shards)
+    asking = rows.filter(is_query)
+    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    tiled, shards = tiles(rows, asking, n, n_queries, query_rows, shard_rows)
+    return merged(by_tile(tiled, _search(k), "long"), k, shards)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
