@@ -1,13 +1,16 @@
 """Operator 3: sharding by size-tiered compaction under a versioned manifest.
 
 Arrivals are appended as small immutable Parquet shards, without a shuffle. Shards belong to tiers
-by size; when a tier has ``FAN_IN`` runs or more, these runs of similar size are merged into files
-of about ``TARGET_BYTES``: one scan packs whole shards into tasks by their bytes and each task
-writes one file, so a row is read and written once and never shuffled. A version of the data set is
+by size; when a tier has ``FAN_IN`` runs or more, the runs of this tier alone are merged into files
+of about ``TARGET_BYTES``, the lowest tier first: one scan packs whole shards into tasks by their bytes
+and each task writes one file, so a row is read and written once for each tier it rises and never
+shuffled. A version of the data set is
 a manifest that lists its files with bytes, rows and tier. It is written beside the others and put
 in place by a rename that fails if the version exists: a reader sees the old or the new version as
 a whole, a writer that lost a race starts again from the version that won, and files of a failed or
-interrupted run are in no manifest. The driver handles names and sizes of files only.
+interrupted run are in no manifest. The driver handles names and sizes of files only, and hands a
+folder of which every file is live to a scan by the folder's name. The rename that fails if its target
+exists is that of Hadoop's FileContext, which is atomic on HDFS and on local paths, not on object stores.
 
 Defined results: the columns of the input are kept as they are, whatever their names, with nulls
 and repeated rows; an empty table gives a version without files, which reads as an empty table.
@@ -29,6 +32,8 @@ from gridloom.llm.common import scratch_path, table
 TARGET_BYTES = 128 << 20
 SHARD_ROWS = 2000
 FAN_IN = 4
+#: Lots in which the query has its table arrive; together they are the whole table.
+ARRIVALS = 3
 #: Size from which tiers are counted; a file this full is not merged again.
 LEAST_BYTES, FULL = 64 << 10, 0.75
 
@@ -108,7 +113,14 @@ class ShardStore:
         if not sizes:
             return []
         counted = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).count().collect()
-        return [{"file": f"{folder}/{r['name']}", "bytes": sizes[r["name"]], "rows": r["count"], "tier": self.tier(sizes[r["name"]])} for r in counted]
+        return [{"file": f"{folder}/{r['name']}", "bytes": sizes[r["name"]], "rows": r["count"], "tier": self.tier(sizes[r["name"]]), "of": len(sizes)} for r in counted]
+
+    def _paths(self, files: list[dict]) -> list[str]:
+        """What a scan of these files reads: whole folders where it needs all of their files."""
+        folders = defaultdict(list)
+        for f in files:
+            folders[f["file"].rsplit("/", 1)[0]].append(f)
+        return [f"{self.root}/{p}" for folder, own in sorted(folders.items()) for p in ([folder] if len(own) == own[0]["of"] else sorted(f["file"] for f in own))]
 
     def append(self, rows: DataFrame) -> dict:
         """An arrival: its partitions as small immutable shards, and a version that holds them."""
@@ -116,21 +128,22 @@ class ShardStore:
         rows.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return self._commit_change(set(), self._entries(folder), rows.schema.json())
 
-    def due(self, files: list[dict]) -> list[dict]:
-        """Runs to merge: those of each tier below the target that has enough of them."""
+    def due(self, files: list[dict]) -> list[list[dict]]:
+        """Runs to merge, a list for each tier below the target that has enough of them, the lowest tier first."""
         tiers = defaultdict(list)
         for f in files:
             if f["bytes"] < FULL * self.target_bytes:
                 tiers[f["tier"]].append(f)
-        return [f for t in tiers.values() if len(t) >= self.fan_in for f in t]
+        return [runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fan_in]
 
     def compact(self) -> dict:
-        """Merges until no tier has enough runs, each round a version of its own."""
-        now = self.manifest()
-        while runs := self.due(now["files"]):
+        """Merges until no tier has enough runs, each merge a version of its own."""
+        now, stuck = self.manifest(), set()
+        while runs := next((r for r in self.due(now["files"]) if r[0]["tier"] not in stuck), None):
             merged = self._merge(runs, now["schema"])
             if len(merged) >= len(runs):
-                break
+                stuck.add(runs[0]["tier"])  # as few files as their sizes allow; what was written is in no manifest
+                continue
             now = self._commit_change({f["file"] for f in runs}, merged, now["schema"])
         return now
 
@@ -142,7 +155,7 @@ class ShardStore:
         try:
             for k, v in packing.items():
                 self.spark.conf.set(k, v)
-            rows = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*(f"{self.root}/{f['file']}" for f in runs))
+            rows = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*self._paths(runs))
             rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         finally:
             for k, v in before.items():
@@ -175,15 +188,17 @@ class ShardStore:
         found = self.manifest(version)
         if not found["files"]:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(found["schema"])) if found["schema"] else StructType())
-        return self.spark.read.schema(StructType.fromJson(json.loads(found["schema"]))).parquet(*(f"{self.root}/{f['file']}" for f in found["files"]))
+        return self.spark.read.schema(StructType.fromJson(json.loads(found["schema"]))).parquet(*self._paths(found["files"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Documents through an append, compaction and a vacuum; the rows of the version that results."""
-    store = ShardStore(spark, scratch_path(spark, "shards"))
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
-    store.vacuum()
+    """Documents arrive in ``ARRIVALS`` lots, each followed by compaction and a vacuum; the rows of the last version."""
+    store, docs = ShardStore(spark, scratch_path(spark, "shards")), table(spark, sf_dir, "documents")
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS))
+    for n in range(ARRIVALS):
+        store.append(docs.filter(lot == n))
+        store.compact()
+        store.vacuum()
     return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
