@@ -1,13 +1,16 @@
 """Exact Euclidean distance of foreground pixels to the background.
 
 First the distance to the nearest background pixel of the column, from the ends of its foreground
-runs; then the smallest ``(c - c')^2 + g(c')^2`` along the row. Only ``|c - c'| < g(c)`` can improve
-on g(c), so the second step is an equality join on (raster, row, column) whose size follows from the
-widths of the roads, not from the width of the scene. The border of a scene is not background.
+runs; then the smallest ``(c - c')^2 + g(c')^2`` along the row, as the lower envelope of the row's
+parabolas, in time that grows with the width of the row alone. The border of a scene is not background.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 def distance(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     """(raster_id, r, c, dist) of every foreground pixel; null where a raster has no background."""
     keys = ["raster_id", "r", "c"]
-    m = mask.select(*keys).join(scenes.select("raster_id", "width", "height"), "raster_id")
+    m = mask.select(F.col("raster_id").cast("long").alias("raster_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).join(scenes.select("raster_id", "width", "height"), "raster_id")
     # runs of consecutive foreground pixels of a column
     down = Window.partitionBy("raster_id", "c").orderBy("r")
     runs = m.withColumn("_run", F.col("r") - F.row_number().over(down))
@@ -24,14 +27,45 @@ def distance(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     up = F.when(top > 0, F.col("r") - top + 1)
     low = F.when(bottom < F.col("height") - 1, bottom - F.col("r") + 1)
     column = runs.select(*keys, "width", F.least(up, low).alias("g"))
-    # a column without background says nothing: its pixels look along the whole row
-    reach = F.coalesce(F.col("g") - 1, F.col("width"))
-    look = column.select(*keys, "g", "width", F.explode(F.sequence(-reach, reach)).alias("d")).filter("c + d >= 0 and c + d < width")
-    look = look.select(*keys, "g", "d", (F.col("c") + F.col("d")).cast("int").alias("c2"))
-    other = column.select("raster_id", "r", F.col("c").alias("c2"), F.col("g").alias("g2"), F.lit(True).alias("fg"))
-    near = look.join(other, ["raster_id", "r", "c2"], "left")
-    square = F.col("d") * F.col("d") + F.when(F.col("fg"), F.col("g2") * F.col("g2")).otherwise(F.lit(0))
-    return near.groupBy(*keys).agg(F.sqrt(F.min(square).cast("double")).alias("dist"))
+    # rows of a scene are dealt to tasks; a row holds as many pixels as the scene is wide
+    rows = column.groupBy("raster_id", "r").agg(F.max("width").alias("width"), F.array_sort(F.collect_list(F.struct("c", "g"))).alias("row"))
+    found = rows.mapInArrow(_along_rows, "raster_id long, r int, c array<int>, dist array<double>")
+    return found.select("raster_id", "r", F.explode(F.arrays_zip("c", "dist")).alias("p")).select("raster_id", "r", "p.c", "p.dist")
+
+
+def _along_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest (c - c')^2 + g(c')^2 along a row: from each place the parabola of its column, of which the
+    lower envelope is found in one walk. Places without a foreground pixel have g = 0."""
+    for batch in batches:
+        out_c, out_d = [], []
+        for width, row in zip(batch.column("width").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            c = np.array([p["c"] for p in row])
+            square = np.zeros(width)
+            square[c] = [np.inf if p["g"] is None else float(p["g"]) ** 2 for p in row]
+            out_c.append(c.astype(np.int32))
+            out_d.append(np.sqrt(_envelope(square))[c])
+        dist = [[None if np.isinf(x) else x for x in d] for d in out_d]
+        yield pa.RecordBatch.from_arrays([batch.column("raster_id"), batch.column("r"), pa.array(out_c, pa.list_(pa.int32())), pa.array(dist, pa.list_(pa.float64()))], ["raster_id", "r", "c", "dist"])
+
+
+def _envelope(height: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(np.isfinite(height))
+    if not len(at):
+        return height
+    tops, starts = [int(at[0])], [-np.inf]
+    for c in map(int, at[1:]):
+        while True:
+            t = tops[-1]
+            meet = ((height[c] + c * c) - (height[t] + t * t)) / (2 * (c - t))
+            if meet > starts[-1]:
+                break
+            tops.pop()
+            starts.pop()
+        tops.append(c)
+        starts.append(meet)
+    place = np.arange(len(height))
+    best = np.array(tops)[np.searchsorted(starts, place, side="right") - 1]
+    return (place - best) ** 2 + height[best]
 
 
 def widths(distances: DataFrame, gsd: float, feet: bool = False) -> DataFrame:

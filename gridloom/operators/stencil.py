@@ -7,11 +7,16 @@ by sending to the mirrored places as well. Separable kernels run one axis at a t
 
 from __future__ import annotations
 
+import functools
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.blocks import by_block
+
 KEYS = ["raster_id", "r", "c"]
 
 
@@ -54,15 +59,29 @@ def unsharp(raster: DataFrame, scenes: DataFrame, sigma: float = 2.0, amount: fl
     return raster.join(soft, KEYS).select(*KEYS, (F.lit(amount) * F.col("v") - F.lit(amount - 1) * F.col("_s")).alias("v"))
 
 
-def ribbon_kernel(width: float, angle: float) -> list[list[float]]:
-    """A line filter: 1 inside a ribbon, -0.5 on its flanks, then mean 0 and absolute sum 1."""
+def ribbon_kernel(width: float, angle: float) -> np.ndarray:
+    """A line filter by distance from a line through its middle: 1 in a ribbon, -0.5 on its flanks of the
+    same width, brought to mean 0 and absolute sum 1; its side is seven widths, made odd."""
     side = int(width * 7) | 1
-    half, turn = side // 2, math.radians(angle)
-    away = [[abs(-(x - half) * math.sin(turn) + (y - half) * math.cos(turn)) for x in range(side)] for y in range(side)]
-    raw = [[1.0 if d <= width / 2 else -0.5 if d <= width * 1.5 else 0.0 for d in row] for row in away]
-    mean = sum(map(sum, raw)) / side**2
-    norm = sum(abs(v - mean) for row in raw for v in row) + 1e-6
-    return [[(v - mean) / norm for v in row] for row in raw]
+    y, x = np.indices((side, side)) - side // 2
+    away = np.abs(y * math.cos(math.radians(angle)) - x * math.sin(math.radians(angle)))
+    k = np.select([away <= width / 2, away <= width * 1.5], [1.0, -0.5])
+    k -= k.mean()
+    return k / (np.abs(k).sum() + 1e-6)
+
+
+@functools.lru_cache(maxsize=4)
+def _ribbon_spectra(widths: tuple[float, ...], orientations: int, shape: tuple[int, int]) -> np.ndarray:
+    """Transforms of all kernels, centred on the first pixel, for blocks of a shape; made once in a worker."""
+    out = []
+    for w in widths:
+        for i in range(orientations):
+            k = ribbon_kernel(w, 180.0 * i / orientations)[::-1, ::-1]
+            at = np.arange(len(k)) - len(k) // 2
+            spread = np.zeros(shape)
+            np.add.at(spread, (at[:, None] % shape[0], at[None, :] % shape[1]), k)
+            out.append(np.fft.rfft2(spread))
+    return np.array(out)
 
 
 def ribbon_energy(raster: DataFrame, widths=(2.5, 4.0), orientations: int = 16, block: int = 256) -> DataFrame:
@@ -70,41 +89,31 @@ def ribbon_energy(raster: DataFrame, widths=(2.5, 4.0), orientations: int = 16,
 
     Large kernels are applied to blocks with a halo, by Fourier transforms in Arrow batches; pixels
     beyond the scene are mirrored."""
-    from gridloom.operators.blocks import by_block
-
-    kernels = [ribbon_kernel(w, 180.0 * k / orientations) for w in widths for k in range(orientations)]
-    halo = max(len(k) for k in kernels) // 2
+    widths = tuple(widths)
+    halo = max(int(w * 7) | 1 for w in widths) // 2
 
-    def energy(values, present):
-        import numpy as np
-
-        best = np.zeros_like(values)
-        shape = values.shape
-        pad = np.fft.rfft2(values)
-        for k in kernels:
-            n = len(k) // 2
-            spread = np.zeros(shape)
-            for i, row in enumerate(k):
-                for j, w in enumerate(row):
-                    spread[(n - i) % shape[0], (n - j) % shape[1]] += w
-            best = np.maximum(best, np.fft.irfft2(pad * np.fft.rfft2(spread), s=shape))
+    def energy(values: np.ndarray, present: np.ndarray) -> np.ndarray:
+        best, own = np.zeros_like(values), np.fft.rfft2(values)
+        for spectrum in _ribbon_spectra(widths, orientations, values.shape):
+            best = np.maximum(best, np.fft.irfft2(own * spectrum, s=values.shape))
         return best
 
     return by_block(raster, energy, block, halo, mirror=True)
 
 
 def neighbours(raster: DataFrame) -> DataFrame:
-    """Values of the eight neighbours as columns named by direction; null outside."""
+    """Values of the eight neighbours as columns named by direction; null where there is no pixel. A corner
+    is also null where the pixel between it and this one's row is missing."""
     across = Window.partitionBy("raster_id", "r").orderBy("c")
     down = Window.partitionBy("raster_id", "c").orderBy("r")
-    row = raster.select(*KEYS, "v").withColumns({"v_w": F.lag("v").over(across), "v_e": F.lead("v").over(across)})
+    row = raster.select(*KEYS, "v").withColumns({"v_w": F.first("v").over(across.rangeBetween(-1, -1)), "v_e": F.first("v").over(across.rangeBetween(1, 1))})
     names = {"v": ("v_n", "v_s"), "v_w": ("v_nw", "v_sw"), "v_e": ("v_ne", "v_se")}
-    return row.withColumns({n: f(x).over(down) for x, (above, below) in names.items() for n, f in ((above, F.lag), (below, F.lead))})
+    return row.withColumns({n: F.first(x).over(down.rangeBetween(d, d)) for x, pair in names.items() for n, d in zip(pair, (-1, 1), strict=True)})
 
 
 def gradient(raster: DataFrame) -> DataFrame:
     """Sobel gradients gx and gy, their magnitude, and the direction in 0..180 degrees, off the border."""
-    n = neighbours(raster).filter("v_nw is not null and v_se is not null and v_ne is not null and v_sw is not null")
+    n = neighbours(raster).na.drop(subset=["v_n", "v_s", "v_w", "v_e", "v_nw", "v_ne", "v_sw", "v_se"])
     col = F.col
     gx = (col("v_ne") + 2 * col("v_e") + col("v_se")) - (col("v_nw") + 2 * col("v_w") + col("v_sw"))
     gy = (col("v_sw") + 2 * col("v_s") + col("v_se")) - (col("v_nw") + 2 * col("v_n") + col("v_ne"))
@@ -157,18 +166,19 @@ def endpoints(mask: DataFrame) -> DataFrame:
     return neighbour_count(mask).filter("n = 1").select(*KEYS)
 
 
-def median(raster: DataFrame, scenes: DataFrame, radius: int = 3) -> DataFrame:
-    """Median over a square, the border pixels repeated."""
-    steps = F.array(*(F.lit(k) for k in range(-radius, radius + 1)))
-    sized = raster.join(scenes.select("raster_id", "width", "height"), "raster_id")
-    want = sized.select(*KEYS, "width", "height").withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps))
+def median(raster: DataFrame, scenes: DataFrame, radius: int = 3, block: int = 256) -> DataFrame:
+    """Median over a square, the border pixels repeated; places of the square without a pixel are left out."""
 
-    def inside(x: Column, n: str) -> Column:
-        return F.least(F.greatest(x, F.lit(0)), F.col(n) - 1).cast("int")
+    def kernel(values: np.ndarray, present: np.ndarray) -> np.ndarray:
+        side = 2 * radius + 1
+        known = np.pad(np.where(present, values, np.nan), radius, mode="edge")
+        views = np.lib.stride_tricks.sliding_window_view(known, (side, side))
+        # a few rows at a time: side * side copies of a row are held at once
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            return np.stack([np.nanmedian(views[i].reshape(views.shape[1], -1), axis=1) for i in range(len(views))])
 
-    want = want.select(*KEYS, inside(F.col("r") + F.col("_a"), "height").alias("r2"), inside(F.col("c") + F.col("_b"), "width").alias("c2"))
-    values = raster.select("raster_id", F.col("r").alias("r2"), F.col("c").alias("c2"), "v")
-    return want.join(values, ["raster_id", "r2", "c2"]).groupBy(*KEYS).agg(F.median("v").alias("v"))
+    return by_block(raster, kernel, block, radius)
 
 
 def frangi(raster: DataFrame, scenes: DataFrame, sigmas=(1.2, 2.0, 3.2, 4.8), bright: bool = True, beta: float = 0.5) -> DataFrame:

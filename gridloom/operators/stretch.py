@@ -30,9 +30,11 @@ def raster_percentiles(values: DataFrame, keys: list[str], value: str, ps: dict[
     before = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(F.lit(p) * (F.col("_n") - 1)), F.ceil(F.lit(p) * (F.col("_n") - 1))) for p in ps.values()))))
     held = counts.withColumn("_before", before).withColumn("_ranks", F.filter(ranks, lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_k")))).filter(F.size("_ranks") > 0)
+    # equal values of a bin are counted first: one value may fill it
     found = binned.join(held.select(*keys, "_bin", "_before", "_ranks"), [*keys, "_bin"])
-    rank = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("_v")) - 1 + F.col("_before")
-    found = found.withColumn("_rank", rank).filter(F.array_contains("_ranks", F.col("_rank")))
+    found = found.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_m"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"), F.first("_n").alias("_n"))
+    last = F.sum("_m").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    found = found.withColumn("_last", last).withColumn("_rank", F.explode(F.filter("_ranks", lambda x: (x < F.col("_last")) & (x >= F.col("_last") - F.col("_m")))))
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"), F.max("_n").alias("_n"))
 
     def percentile(p: float) -> Column:

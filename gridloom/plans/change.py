@@ -11,9 +11,15 @@ empty snapshot makes every road of the other one a change; null geometries give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import reproject
+
 CELL = 64.0
 
 
@@ -25,50 +31,66 @@ def segments(roads: DataFrame) -> DataFrame:
 
 
 def _cells(s: DataFrame, grow: float) -> DataFrame:
-    def span(a: str, b: str) -> Column:
-        return F.sequence(F.floor((F.least(a, b) - grow) / CELL), F.floor((F.greatest(a, b) + grow) / CELL))
-
-    cells = s.withColumns({"_x": span("ax", "bx"), "_y": span("ay", "by")}).withColumns({"gx0": F.get("_x", F.lit(0)), "gy0": F.get("_y", F.lit(0))})
-    return cells.withColumn("gx", F.explode("_x")).withColumn("gy", F.explode("_y")).drop("_x", "_y")
+    """Segments with each grid cell that they come within ``grow`` of (and few more): column by column, so that
+    a long slanting segment has as many cells as it crosses, not as its bounding box holds."""
+    col = F.col
+    west, east = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = s.withColumn("gx", F.explode(F.sequence(F.floor((west - grow) / CELL), F.floor((east + grow) / CELL))))
+    # the part of the segment inside the column and grow around it
+    slope = F.when(col("ax") == col("bx"), F.lit(None)).otherwise((col("by") - col("ay")) / (col("bx") - col("ax")))
+    columns = columns.withColumns({"_m": slope, "_x0": F.least(F.greatest(col("gx") * CELL - grow, west), east), "_x1": F.least(F.greatest((col("gx") + 1) * CELL + grow, west), east)})
+    y0, y1 = (F.coalesce(col("ay") + (col(x) - col("ax")) * col("_m"), col(y)) for x, y in (("_x0", "ay"), ("_x1", "by")))
+    rows = columns.withColumns({"_y0": y0, "_y1": y1})
+    rows = rows.withColumn("gy", F.explode(F.sequence(F.floor((F.least("_y0", "_y1") - grow) / CELL), F.floor((F.greatest("_y0", "_y1") + grow) / CELL))))
+    return rows.drop("_m", "_x0", "_x1", "_y0", "_y1")
 
 
 def covered(a: DataFrame, b: DataFrame, buffer: float) -> DataFrame:
-    """(road_id, k, lo, hi): intervals of the segments of a inside the buffer of a segment of b."""
-    other = _cells(b, buffer).select("gx", "gy", *(F.col(x).alias("c" + x) for x in ("gx0", "gy0", "ax", "ay", "bx", "by", "len")))
-    col = F.col
+    """(road_id, k, lo, hi): intervals of the segments of a inside the buffer of a segment of b.
+
+    A pair that shares several cells gives its interval for each of them, which changes no union and
+    takes no shuffle of the pairs. The intervals are worked out on whole Arrow batches: as expressions
+    they outgrow what can be compiled."""
+    other = _cells(b, buffer).select("gx", "gy", *(F.col(x).alias("c" + x) for x in ("ax", "ay", "bx", "by", "len")))
 
     def near(lo: str, hi: str) -> Column:
         return (F.least(lo, hi) <= F.greatest("c" + lo, "c" + hi) + buffer) & (F.least("c" + lo, "c" + hi) <= F.greatest(lo, hi) + buffer)
 
-    # a pair counts in the first of the cells it shares only, which takes no shuffle of the pairs
-    p = _cells(a, 0.0).join(other, ["gx", "gy"]).filter((col("gx") == F.greatest("gx0", "cgx0")) & (col("gy") == F.greatest("gy0", "cgy0")) & near("ax", "bx") & near("ay", "by"))
-    dx, dy = col("bx") - col("ax"), col("by") - col("ay")
-    ux, uy = (col("cbx") - col("cax")) / col("clen"), (col("cby") - col("cay")) / col("clen")
-    ox, oy = col("ax") - col("cax"), col("ay") - col("cay")
-    p = p.withColumns({"dx": dx, "dy": dy, "s0": ox * ux + oy * uy, "s1": dx * ux + dy * uy, "h0": oy * ux - ox * uy, "h1": dy * ux - dx * uy})
-
-    def between(start: str, slope: str, low: Column, high: Column) -> tuple[Column, Column]:
-        """Where low <= start + t * slope <= high; (2, -1) where nowhere."""
-        x, y = (low - col(start)) / col(slope), (high - col(start)) / col(slope)
-        flat = col(start).between(low, high)
-        return (
-            F.when(F.abs(slope) < 1e-12, F.when(flat, F.lit(0.0)).otherwise(F.lit(2.0))).otherwise(F.least(x, y)),
-            F.when(F.abs(slope) < 1e-12, F.when(flat, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.greatest(x, y)),
-        )
-
-    r = F.lit(buffer)
-    along, across = between("s0", "s1", F.lit(0.0), col("clen")), between("h0", "h1", -r, r)
-    found = [(F.greatest(along[0], across[0]), F.least(along[1], across[1]))]
-    for x, y in (("cax", "cay"), ("cbx", "cby")):
-        ex, ey = col("ax") - col(x), col("ay") - col(y)
-        q, m, n = col("dx") * col("dx") + col("dy") * col("dy"), col("dx") * ex + col("dy") * ey, ex * ex + ey * ey - r * r
+    p = _cells(a, 0.0).join(other, ["gx", "gy"]).filter(near("ax", "bx") & near("ay", "by"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = capsule_interval(*(c.to_numpy() for c in batch.columns[2:]), buffer)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lo), pa.array(hi)], ["road_id", "k", "lo", "hi"])
+
+    wanted = p.select(F.col("road_id").cast("long").alias("road_id"), F.col("k").cast("int").alias("k"), "ax", "ay", "bx", "by", "cax", "cay", "cbx", "cby")
+    return wanted.mapInArrow(run, "road_id long, k int, lo double, hi double").filter("hi > lo")
+
+
+def capsule_interval(ax, ay, bx, by, cax, cay, cbx, cby, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """The part lo..hi of each segment a-b (as shares of it) within r of the segment c; lo > hi where there is none.
+
+    A capsule is a box along its segment and a disc about each end; it is convex, so the parts
+    inside the three pieces make one interval."""
+    dx, dy, ex, ey = bx - ax, by - ay, cbx - cax, cby - cay
+    length = np.hypot(ex, ey)
+    ux, uy, ox, oy = ex / length, ey / length, ax - cax, ay - cay
+
+    def between(start, slope, low, high):
+        flat, inside = np.abs(slope) < 1e-12, (start >= low) & (start <= high)
+        x, y = (low - start) / np.where(flat, 1.0, slope), (high - start) / np.where(flat, 1.0, slope)
+        return np.where(flat, np.where(inside, 0.0, 2.0), np.minimum(x, y)), np.where(flat, np.where(inside, 1.0, -1.0), np.maximum(x, y))
+
+    along, across = between(ox * ux + oy * uy, dx * ux + dy * uy, 0.0, length), between(oy * ux - ox * uy, dy * ux - dx * uy, -r, r)
+    pieces = [(np.maximum(along[0], across[0]), np.minimum(along[1], across[1]))]
+    for px, py in ((ox, oy), (ax - cbx, ay - cby)):
+        q, m, n = dx * dx + dy * dy, dx * px + dy * py, px * px + py * py - r * r
         d = m * m - q * n
-        root = F.sqrt(F.greatest(d, F.lit(0.0)))
-        found.append((F.when(d >= 0, (-m - root) / q).otherwise(F.lit(2.0)), F.when(d >= 0, (-m + root) / q).otherwise(F.lit(-1.0))))
-    # the three pieces of one capsule make one interval
-    low = F.least(*(F.when(b >= a, a).otherwise(F.lit(2.0)) for a, b in found))
-    high = F.greatest(*(F.when(b >= a, b).otherwise(F.lit(-1.0)) for a, b in found))
-    return p.select("road_id", "k", F.greatest(low, F.lit(0.0)).alias("lo"), F.least(high, F.lit(1.0)).alias("hi")).filter("hi > lo")
+        root = np.sqrt(np.maximum(d, 0.0))
+        pieces.append((np.where(d >= 0, (-m - root) / q, 2.0), np.where(d >= 0, (-m + root) / q, -1.0)))
+    low = np.minimum.reduce([np.where(y >= x, x, 2.0) for x, y in pieces])
+    high = np.maximum.reduce([np.where(y >= x, y, -1.0) for x, y in pieces])
+    return np.maximum(low, 0.0), np.minimum(high, 1.0)
 
 
 def uncovered(a: DataFrame, b: DataFrame, buffer: float) -> DataFrame:
@@ -103,11 +125,14 @@ def changes_of(a: DataFrame, b: DataFrame, kind: str, buffer: float = 3.5, least
 
 def compare(before: DataFrame, after: DataFrame, buffer: float = 3.5, least: float = 20.0) -> DataFrame:
     """New and removed roads of two snapshots; BEFORE is brought to the system of AFTER where they differ."""
+    if "srid" in before.columns and "srid" in after.columns:
+        target = after.agg(F.max("srid")).first()[0]
+        if target is not None and not before.filter(F.col("srid") != target).isEmpty():
+            before = aligned(before, target)
     new = changes_of(after, before, "NEW_ROAD", buffer, least)
     return new.unionByName(changes_of(before, after, "REMOVED_ROAD", buffer, least))
 
 
 def aligned(before: DataFrame, after_srid: int) -> DataFrame:
-    from gridloom.functions.geometry import reproject
-
+    """Geometries in another system."""
     return before.withColumn("geom", reproject(F.col("geom"), F.col("srid"), F.lit(after_srid))).withColumn("srid", F.lit(after_srid))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import written
+
 
 def meta_paths(lines: DataFrame, root: str) -> DataFrame:
     """The first word of each line of a list, under a root."""
@@ -25,10 +27,11 @@ def keys(lines: DataFrame) -> DataFrame:
 def numbered(paths: DataFrame, col: str = "path", partitions: int | None = None) -> DataFrame:
     """Rows with their place (from 0) in sorted order.
 
-    Rows are dealt by range and counted in their partitions; only the partitions' counts meet in one task."""
+    Rows are dealt by range, written once (a second deal could draw other ranges), and counted in their
+    partitions; only the partitions' counts meet in one task."""
     part = F.spark_partition_id()
     dealt = paths.repartitionByRange(partitions, col) if partitions else paths.repartitionByRange(col)
-    rows = dealt.sortWithinPartitions(col).withColumn("_part", part)
+    rows = written(dealt.withColumn("_part", part), "ranges")
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(col)))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("_first"))
     base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_first", "_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))

@@ -58,13 +58,16 @@ def affine_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roads(spark: SparkSession, sf_dir: str, snapshot: str) -> DataFrame:
-    """Straight roads from all orders; ``before`` has those of status F and P, ``after`` of O and P."""
+    """A road of two straight pieces for every order; ``before`` has those of status F and P, ``after`` of
+    O and P. Fifteen orders share a band ten metres high, so the network spreads as the table grows."""
     o = table(spark, sf_dir, "orders")
     o = o.filter(F.col("o_orderstatus").isin("F" if snapshot == "before" else "O", "P"))
     x0 = (F.col("o_custkey") % 1000).cast("double")
-    y0 = (F.lit(10) * (F.floor("o_totalprice") % 40)).cast("double")
-    x1 = x0 + 20 + (F.floor(F.col("o_orderkey") / 50) % 80).cast("double")
+    y0 = (F.lit(10) * F.floor(F.col("o_orderkey") / 15)).cast("double")
+    x1 = x0 + 10 + (F.floor("o_totalprice") % 50).cast("double")
     y1 = y0 + (F.col("o_custkey") % 7).cast("double")
+    x2 = x1 + 10 + (F.col("o_custkey") % 41).cast("double")
+    y2 = y0 + (F.col("o_orderkey") % 5).cast("double")
 
     def point(x, y):
         return F.struct(x.alias("x"), y.alias("y"))
@@ -73,7 +76,7 @@ def roads(spark: SparkSession, sf_dir: str, snapshot: str) -> DataFrame:
         F.col("o_orderkey").alias("road_id"),
         (F.lit(4) + F.col("o_custkey") % 9).cast("double").alias("mean_width_m"),
         F.lit(0.9).alias("confidence"),
-        F.array(point(x0, y0), point(x1, y1)).alias("geom"),
+        F.array(point(x0, y0), point(x1, y1), point(x2, y2)).alias("geom"),
         F.lit(32643).alias("srid"),
     )
 

@@ -33,18 +33,22 @@ _PARTS = {
     "rgb": "SELECT a.r AS day, a.c AS hour, a.p AS r, b.p AS g, d.p AS b FROM evtp a JOIN evtp b ON a.r = b.r AND a.c = b.c JOIN evtp d ON a.r = d.r AND a.c = d.c WHERE a.raster_id = 4 AND b.raster_id = 0 AND d.raster_id = 2",
     "hsv": "SELECT *, greatest(r, g, b) AS top, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS sat FROM rgb",
     "paths": "SELECT concat('DF/', lang, '/', doc_id::VARCHAR, '.png') AS path FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL",
-    "road": "SELECT o_orderkey AS road_id, o_orderstatus AS st, (4 + o_custkey % 9)::DOUBLE AS width_m, (o_custkey % 1000)::DOUBLE AS ax, (10 * (floor(o_totalprice)::BIGINT % 40))::DOUBLE AS ay, (o_custkey % 1000 + 20 + (o_orderkey // 50) % 80)::DOUBLE AS bx, (10 * (floor(o_totalprice)::BIGINT % 40) + o_custkey % 7)::DOUBLE AS \"by\" FROM orders WHERE o_orderkey % 50 = 0",
-    "pairs": """SELECT k.kind, a.road_id, c.ax AS cax, c.ay AS cay, c.bx AS cbx, c."by" AS cby, a.ax - c.ax AS ox, a.ay - c.ay AS oy, a.ax, a.ay, a.bx - a.ax AS dx, a."by" - a.ay AS dy, c.bx - c.ax AS ex, c."by" - c.ay AS ey, sqrt(power(c.bx - c.ax, 2) + power(c."by" - c.ay, 2)) AS cl
-      FROM (VALUES ('NEW_ROAD', 'O', 'F'), ('REMOVED_ROAD', 'F', 'O')) k(kind, own, theirs), road a, road c WHERE a.st IN (k.own, 'P') AND c.st IN (k.theirs, 'P') AND abs(a.ay - c.ay) <= 20 AND a.ax <= c.bx + 4 AND c.ax <= a.bx + 4""",
+    "road": """SELECT o_orderkey AS road_id, o_orderstatus AS st, (4 + o_custkey % 9)::DOUBLE AS width_m, (o_custkey % 1000)::DOUBLE AS x0, (10 * (o_orderkey // 15))::DOUBLE AS y0, x0 + 10 + (floor(o_totalprice)::BIGINT % 50)::DOUBLE AS x1,
+      y0 + (o_custkey % 7)::DOUBLE AS y1, x1 + 10 + (o_custkey % 41)::DOUBLE AS x2, y0 + (o_orderkey % 5)::DOUBLE AS y2 FROM orders""",
+    "piece": """SELECT road_id, st, 0 AS k, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS "by" FROM road UNION ALL SELECT road_id, st, 1, x1, y1, x2, y2 FROM road""",
+    "pairs": """SELECT n.kind, a.road_id, a.k, c.ax AS cax, c.ay AS cay, c.bx AS cbx, c."by" AS cby, a.ax - c.ax AS ox, a.ay - c.ay AS oy, a.ax, a.ay, a.bx - a.ax AS dx, a."by" - a.ay AS dy, c.bx - c.ax AS ex, c."by" - c.ay AS ey, sqrt(power(c.bx - c.ax, 2) + power(c."by" - c.ay, 2)) AS cl
+      FROM (VALUES ('NEW_ROAD', 'O', 'F'), ('REMOVED_ROAD', 'F', 'O')) n(kind, own, theirs), (SELECT *, unnest([-10, 0, 10]) AS d FROM piece) a JOIN piece c ON c.road_id // 15 = a.road_id // 15 + a.d // 10 WHERE a.st IN (n.own, 'P') AND c.st IN (n.theirs, 'P') AND a.ax <= c.bx + 4 AND c.ax <= a.bx + 4""",
     "lin": "SELECT *, (ox * ex + oy * ey) / cl AS s0, (dx * ex + dy * ey) / cl AS s1, (oy * ex - ox * ey) / cl AS h0, (dy * ex - dx * ey) / cl AS h1, dx * dx + dy * dy AS q, dx * ox + dy * oy AS m1, ox * ox + oy * oy - 12.25 AS n1, dx * (ax - cbx) + dy * (ay - cby) AS m2, power(ax - cbx, 2) + power(ay - cby, 2) - 12.25 AS n2 FROM pairs",
-    "ivs": """SELECT kind, road_id, greatest(CASE WHEN abs(s1) < 1e-12 THEN CASE WHEN s0 BETWEEN 0 AND cl THEN 0 ELSE 2 END ELSE least(-s0 / s1, (cl - s0) / s1) END, CASE WHEN abs(h1) < 1e-12 THEN CASE WHEN h0 BETWEEN -3.5 AND 3.5 THEN 0 ELSE 2 END ELSE least((-3.5 - h0) / h1, (3.5 - h0) / h1) END) AS a0,
+    "ivs": """SELECT kind, road_id, k, greatest(CASE WHEN abs(s1) < 1e-12 THEN CASE WHEN s0 BETWEEN 0 AND cl THEN 0 ELSE 2 END ELSE least(-s0 / s1, (cl - s0) / s1) END, CASE WHEN abs(h1) < 1e-12 THEN CASE WHEN h0 BETWEEN -3.5 AND 3.5 THEN 0 ELSE 2 END ELSE least((-3.5 - h0) / h1, (3.5 - h0) / h1) END) AS a0,
       least(CASE WHEN abs(s1) < 1e-12 THEN CASE WHEN s0 BETWEEN 0 AND cl THEN 1 ELSE -1 END ELSE greatest(-s0 / s1, (cl - s0) / s1) END, CASE WHEN abs(h1) < 1e-12 THEN CASE WHEN h0 BETWEEN -3.5 AND 3.5 THEN 1 ELSE -1 END ELSE greatest((-3.5 - h0) / h1, (3.5 - h0) / h1) END) AS a1,
       CASE WHEN m1 * m1 >= q * n1 THEN (-m1 - sqrt(greatest(m1 * m1 - q * n1, 0))) / q ELSE 2 END AS b0, CASE WHEN m1 * m1 >= q * n1 THEN (-m1 + sqrt(greatest(m1 * m1 - q * n1, 0))) / q ELSE -1 END AS b1,
       CASE WHEN m2 * m2 >= q * n2 THEN (-m2 - sqrt(greatest(m2 * m2 - q * n2, 0))) / q ELSE 2 END AS c0, CASE WHEN m2 * m2 >= q * n2 THEN (-m2 + sqrt(greatest(m2 * m2 - q * n2, 0))) / q ELSE -1 END AS c1 FROM lin""",
-    "cov": "SELECT kind, road_id, greatest(0, least(CASE WHEN a1 >= a0 THEN a0 ELSE 2 END, CASE WHEN b1 >= b0 THEN b0 ELSE 2 END, CASE WHEN c1 >= c0 THEN c0 ELSE 2 END)) AS lo, least(1, greatest(CASE WHEN a1 >= a0 THEN a1 ELSE -1 END, CASE WHEN b1 >= b0 THEN b1 ELSE -1 END, CASE WHEN c1 >= c0 THEN c1 ELSE -1 END)) AS hi FROM ivs",
-    "all_iv": "SELECT * FROM cov WHERE hi > lo UNION ALL SELECT 'NEW_ROAD', road_id, 1, 1 FROM road WHERE st IN ('O', 'P') UNION ALL SELECT 'REMOVED_ROAD', road_id, 1, 1 FROM road WHERE st IN ('F', 'P')",
-    "gaps": "SELECT kind, road_id, coalesce(max(hi) OVER (PARTITION BY kind, road_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0, lo AS g1 FROM all_iv",
-    "changed": """SELECT kind AS change_type, road_id AS source_id, (row_number() OVER (PARTITION BY kind, road_id ORDER BY g0))::INTEGER AS part, (g1 - g0) * sqrt(power(bx - ax, 2) + power("by" - ay, 2)) AS length_m, width_m, 0.9::DOUBLE AS confidence FROM gaps JOIN road USING (road_id) WHERE g1 > g0""",
+    "cov": "SELECT kind, road_id, k, greatest(0, least(CASE WHEN a1 >= a0 THEN a0 ELSE 2 END, CASE WHEN b1 >= b0 THEN b0 ELSE 2 END, CASE WHEN c1 >= c0 THEN c0 ELSE 2 END)) AS lo, least(1, greatest(CASE WHEN a1 >= a0 THEN a1 ELSE -1 END, CASE WHEN b1 >= b0 THEN b1 ELSE -1 END, CASE WHEN c1 >= c0 THEN c1 ELSE -1 END)) AS hi FROM ivs",
+    "all_iv": "SELECT * FROM cov WHERE hi > lo UNION ALL SELECT 'NEW_ROAD', road_id, k, 1, 1 FROM piece WHERE st IN ('O', 'P') UNION ALL SELECT 'REMOVED_ROAD', road_id, k, 1, 1 FROM piece WHERE st IN ('F', 'P')",
+    "gaps": "SELECT kind, road_id, k, coalesce(max(hi) OVER (PARTITION BY kind, road_id, k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0, lo AS g1 FROM all_iv",
+    "holes": "SELECT *, CASE WHEN k = 1 AND g0 = 0 AND lag(k) OVER w = 0 AND lag(g1) OVER w = 1 THEN 0 ELSE 1 END AS begins FROM gaps WHERE g1 > g0 WINDOW w AS (PARTITION BY kind, road_id ORDER BY k, g0)",
+    "runs": "SELECT *, sum(begins) OVER (PARTITION BY kind, road_id ORDER BY k, g0)::INTEGER AS part FROM holes",
+    "changed": """SELECT kind AS change_type, road_id AS source_id, part, sum((g1 - g0) * sqrt(power(bx - ax, 2) + power("by" - ay, 2))) AS length_m, max(width_m) AS width_m, 0.9::DOUBLE AS confidence FROM runs JOIN piece USING (road_id, k) JOIN road USING (road_id) GROUP BY 1, 2, 3""",
     "change": "SELECT change_type, source_id, part, round(length_m, 2) AS length_m, round(width_m, 2) AS width_m, confidence FROM changed WHERE length_m >= 20",
 }
 
@@ -52,7 +56,7 @@ _PARTS = {
 _NEEDS = {
     "ends": "emb", "prob": "emb ends", "mask": "prob", "wide": "prob", "other": "prob", "around": "step", "plus": "step", "reach": "mask around", "labels": "reach", "stats": "labels",
     "empty": "emb mask", "up": "mask empty", "ground": "up empty", "dist": "mask ground", "seg": "labels dist prob", "met": "seg", "feet0": "labels dist", "feet1": "feet0", "feet2": "feet1", "feet": "feet2",
-    "evtp": "evt", "rgb": "evtp", "hsv": "rgb", "pairs": "road", "lin": "pairs", "ivs": "lin", "cov": "ivs", "all_iv": "cov road", "gaps": "all_iv", "changed": "gaps road", "change": "changed",
+    "evtp": "evt", "rgb": "evtp", "hsv": "rgb", "piece": "road", "pairs": "piece", "lin": "pairs", "ivs": "lin", "cov": "ivs", "all_iv": "cov piece", "gaps": "all_iv", "holes": "gaps", "runs": "holes", "changed": "runs piece road", "change": "changed",
 }
 
 
@@ -119,11 +123,11 @@ _STATS = "raster_id, label, area, x, y, bbox_w, bbox_h, round(diagonal, 6) AS di
 SQL = {
     "tile_windows": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), _TILE.format(512) + ", width AS source_width, height AS source_height"),
     "tile_windows_sliding": _grid(_sliding("height", 256, 128), _sliding("width", 256, 128), _TILE.format(256)),
-    "tile_windows_tail": _grid(_sliding("height", 256, 192, True), _sliding("width", 256, 192, True), _TILE.format(256)),
+    "tile_windows_tail": _grid(_sliding("height", 256, 64, True), _sliding("width", 256, 64, True), _TILE.format(256)),
     "subimage_grid": _grid(_crops("height", 240, 120, 60), _crops("width", 240, 120, 60), "raster_id, tile_id AS crop_id, col_off, row_off, '_s' || CASE WHEN tile_id < 1000 THEN lpad(tile_id::VARCHAR, 3, '0') ELSE tile_id::VARCHAR END AS suffix", 1),
     "tile_batches": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), "raster_id, (tile_id // 4)::INTEGER AS batch_id, count(*) AS tiles") + " GROUP BY ALL",
     "pad_sizes": _with("scenes", "SELECT raster_id, ((32 - width % 32) % 32)::INTEGER AS pad_w, ((32 - height % 32) % 32)::INTEGER AS pad_h FROM scenes"),
-    "training_patches": _grid(_sliding("height", 128, 128), _sliding("width", 128, 128), _TILE.format(128) + ", unnest([false, true]) AS flipped"),
+    "training_patches": _grid(_sliding("height", 128, 32), _sliding("width", 128, 32), _TILE.format(128) + ", unnest([false, true]) AS flipped"),
     "scaled_sizes": _with("scenes", "SELECT raster_id, k AS n, floor(width * s)::BIGINT AS out_w, floor(height * s)::BIGINT AS out_h FROM scenes, (VALUES (0, 0.75::DOUBLE), (1, 0.5::DOUBLE), (2, 1::DOUBLE / 3)) t(k, s) UNION ALL SELECT raster_id, 3, floor(width * 400 / least(width, height)::DOUBLE)::BIGINT, floor(height * 400 / least(width, height)::DOUBLE)::BIGINT FROM scenes"),
     "read_window": _with("emb scene", "SELECT 0::BIGINT AS raster_id, a.i::INTEGER AS wr, b.i::INTEGER AS wc, round(v, 6) AS v FROM range(16) a(i), range(32) b(i), scene, emb e WHERE e.r = 10 + a.i AND e.c = 40 + CASE WHEN b.i < 24 THEN b.i ELSE 46 - b.i END"),
     "tile_halo": _with("emb", "SELECT (e.r // 32 + x.d)::INTEGER AS tile_r, (e.c // 32 + y.d)::INTEGER AS tile_c, count(*) AS pixels, count_if(x.d = 0 AND y.d = 0) AS own FROM emb e, (SELECT unnest([-1, 0, 1]) AS d) x, (SELECT unnest([-1, 0, 1]) AS d) y WHERE e.r // 32 + x.d >= 0 AND e.c // 32 + y.d >= 0 AND e.r >= (e.r // 32 + x.d) * 32 - 4 AND e.r < (e.r // 32 + x.d + 1) * 32 + 4 AND e.c >= (e.c // 32 + y.d) * 32 - 4 AND e.c < (e.c // 32 + y.d + 1) * 32 + 4 GROUP BY ALL"),
@@ -152,7 +156,7 @@ SQL = {
     "overlay": _with("prob", "SELECT raster_id, r, c, round(CASE WHEN p >= 0.60 THEN p * 0.3 + 0.7 ELSE p END, 6) AS v FROM prob"),
     "gaussian_smooth": _with("prob scene step", _NEAR.format(f"round(sum(v * {_GAUSS.format('dr')} * {_GAUSS.format('dc')}), 6) AS v")).replace("least(greatest(r + dr, 0), h - 1)", "CASE WHEN r + dr < 0 THEN 1 WHEN r + dr >= h THEN h - 2 ELSE r + dr END").replace("least(greatest(c + dc, 0), w - 1)", "CASE WHEN c + dc < 0 THEN 1 WHEN c + dc >= w THEN w - 2 ELSE c + dc END"),
     "box_mean": _with("prob scene step", _NEAR.format("round(avg(v), 6) AS v")),
-    "median_filter": _with("prob scene step", _NEAR.format("round(median(v), 6) AS v")),
+    "median_filter": _with("prob scene step", _NEAR.format("round(median(v), 6) AS v").replace("(SELECT x.d AS dr, y.d AS dc FROM step x, step y)", "(SELECT x.i - 3 AS dr, y.i - 3 AS dc FROM range(7) x(i), range(7) y(i))")),
     "sobel_gradient": _with("prob scene step", "SELECT raster_id, r, c, round(gx, 6) AS gx, round(gy, 6) AS gy, round(sqrt(gx * gx + gy * gy), 6) AS magnitude FROM (" + _NEAR.format("sum(v * dc * (2 - abs(dr))) AS gx, sum(v * dr * (2 - abs(dc))) AS gy") + "), scene WHERE r > 0 AND c > 0 AND r < h - 1 AND c < w - 1"),
     "endpoints": _with("mask around", "SELECT m.raster_id, m.r, m.c FROM mask m, around o, mask n WHERE n.r = m.r + dr AND n.c = m.c + dc GROUP BY ALL HAVING count(*) = 1"),
     "neighbour_count": _with("mask around", "SELECT m.raster_id, m.r, m.c, count(n.r) AS n FROM mask m, around o LEFT JOIN mask n ON n.r = m.r + dr AND n.c = m.c + dc GROUP BY m.raster_id, m.r, m.c"),
@@ -176,7 +180,7 @@ SQL = {
     "pixel_to_world": _with("affine", "SELECT raster_id, round(px * 10.5::DOUBLE + x0, 6) AS x, round(y0 - px * 20.5::DOUBLE, 6) AS y, round(x0, 6) AS west, round(y0 - px * 768, 6) AS south, round(x0 + px * 1024, 6) AS east, round(y0, 6) AS north FROM affine"),
     "spectral_mask": _with("hsv", "SELECT day, hour FROM hsv WHERE sat < 0.28 AND top > 0.18 AND top < 0.94"),
     "spectral_index": _with("hsv", "SELECT day, hour, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS gray, round((g - r) / (g + r + 1e-6), 6) AS vegetation, round(CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 0.2 THEN least(greatest(1 - (2.5 * ((g - r) / (g + r + 1e-6)) + 1.2 * sat), 0), 1) ELSE 0 END, 6) AS asphalt FROM hsv"),
-    "road_lengths": _with("road", """SELECT road_id, round(sqrt(power(bx - ax, 2) + power("by" - ay, 2)), 6) AS length_m, true AS valid FROM road WHERE st IN ('O', 'P')"""),
+    "road_lengths": _with("road", "SELECT road_id, round(sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) + sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)), 6) AS length_m, x2 > x0 AS valid FROM road WHERE st IN ('O', 'P')"),
     "change_all": _with("change", "SELECT * FROM change"),
     "change_new": _with("change", "SELECT * FROM change WHERE change_type = 'NEW_ROAD'"),
     "change_removed": _with("change", "SELECT * FROM change WHERE change_type = 'REMOVED_ROAD'"),
