@@ -55,3 +55,41 @@ def yellow(r: Column, g: Column, b: Column) -> Column:
     """A range of hue, saturation and value (annotation colour)."""
     h, s, v = hsv(r, g, b)
     return h.between(40, 70) & (s >= 0.4) & (v >= 0.4)
+
+
+def hsv8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue 0..179, saturation and value 0..255 of bands 0..255, rounded as whole bytes."""
+    h, s, v = hsv(r / 255.0, g / 255.0, b / 255.0)
+    return F.pmod(F.round(h / 2), F.lit(180.0)), F.round(s * 255), F.round(v * 255)
+
+
+def lab8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """L scaled to 0..255, a and b shifted by 128, of bands 0..255, rounded as whole bytes."""
+    light, a, bb = lab(r / 255.0, g / 255.0, b / 255.0)
+    return F.round(light * 255 / 100), F.round(a + 128), F.round(bb + 128)
+
+
+def from_lab(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """sRGB in 0..1 of CIE L*a*b* under D65."""
+    fy = (light + 16) / 116.0
+
+    def back(t: Column) -> Column:
+        return F.when(t > 6 / 29, t * t * t).otherwise((t - 16.0 / 116) / 7.787)
+
+    x, y, z = back(fy + a / 500.0) * 0.950456, back(fy), back(fy - b / 200.0) * 1.088754
+    linear = (x * 3.240479 - y * 1.537150 - z * 0.498535, -x * 0.969256 + y * 1.875992 + z * 0.041556, x * 0.055648 - y * 0.204043 + z * 1.057311)
+
+    def gamma(v: Column) -> Column:
+        return F.when(v > 0.0031308, F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055).otherwise(v * 12.92)
+
+    return tuple(F.least(F.greatest(gamma(v), F.lit(0.0)), F.lit(1.0)) for v in linear)
+
+
+def asphalt_hsv(s: Column, v: Column) -> Column:
+    """Little saturation and medium value, in bytes."""
+    return (s < 60) & (v > 40) & (v < 160)
+
+
+def asphalt_lab(light: Column, a: Column, b: Column) -> Column:
+    """Nearly neutral and of medium lightness, in bytes."""
+    return (F.abs(a - 128) < 12) & (F.abs(b - 128) < 12) & (light > 50) & (light < 180)

@@ -43,3 +43,37 @@ def checked(scenes: DataFrame, coarsest: float = 5.0) -> DataFrame:
 def fine_enough(scenes: DataFrame, coarsest: float = 0.80) -> DataFrame:
     """The catalog; an error when the query runs if a scene is coarser than allowed."""
     return scenes.withColumn("gsd", gsd_series()).withColumn("gsd", F.when(F.col("gsd") > coarsest, F.raise_error(F.lit("the scene is too coarse")).cast("double")).otherwise(F.col("gsd")))
+
+
+def summary(scenes: DataFrame) -> DataFrame:
+    """What is reported of each scene: sizes, system, bounds and ground distance, rounded."""
+    from gridloom.functions.geometry import bounds
+
+    d = described(scenes)
+    return d.select(
+        "raster_id", F.concat_ws(" x ", "width", "height").alias("dimensions"), F.col("count").alias("bands"),
+        F.coalesce(F.concat(F.lit("EPSG:"), F.col("srid").cast("string")), F.lit("None (Unreferenced)")).alias("crs"), "projected",
+        F.round("gsd", 4).alias("gsd_m"), F.array(*(F.round(bounds()[k], 4) for k in ("west", "south", "east", "north"))).alias("bounds"),
+        F.round("road_px", 2).alias("pixels_for_6_1m_road"), F.col("reliable").alias("gsd_reliable"),
+    )
+
+
+def report(scenes: DataFrame) -> DataFrame:
+    """The same as lines of text."""
+    s = summary(scenes)
+    lines = [F.format_string("%-22s %s", F.lit(c), F.col(c).cast("string")) for c in s.columns if c not in ("raster_id", "bounds")]
+    lines.append(F.format_string("%-22s %s", F.lit("bounds"), F.array_join(F.col("bounds").cast("array<string>"), ", ")))
+    return s.select("raster_id", F.array_join(F.array(*lines), "\n").alias("text"))
+
+
+def bands_kept(scenes: DataFrame, wanted: list[int] | None = None) -> DataFrame:
+    """raster_id and band of the wanted bands (from 1) that a scene has; of no valid wish, its first three."""
+    have = F.sequence(F.lit(1), F.col("count"))
+    asked = F.filter(F.array(*map(F.lit, wanted or [0])), lambda b: (b >= 1) & (b <= F.col("count")))
+    kept = F.when(F.size(asked) > 0, asked).otherwise(F.slice(have, 1, 3))
+    return scenes.filter("count >= 1").select("raster_id", F.explode(kept).alias("band"))
+
+
+def preview(scenes: DataFrame, largest: int = 2048) -> DataFrame:
+    """The window that a preview shows: the first pixels of a scene, up to so many a side."""
+    return scenes.select("raster_id", F.least("width", F.lit(largest)).alias("width"), F.least("height", F.lit(largest)).alias("height"))

@@ -80,3 +80,17 @@ def dice(pred: DataFrame, truth: DataFrame) -> DataFrame:
     t = truth.select("raster_id", "r", "c", F.col("v").alias("g"))
     j = pred.join(t, ["raster_id", "r", "c"])
     return j.groupBy("raster_id").agg((F.lit(1.0) - (2 * F.sum(F.col("p") * F.col("g")) + 1) / (F.sum("p") + F.sum("g") + 1)).alias("dice_loss"))
+
+
+def bce(pred: DataFrame, truth: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """Mean binary cross entropy of a probability against a 0/1 mask, both dense."""
+    t = truth.select("raster_id", "r", "c", F.col("v").alias("g"))
+    p = F.least(F.greatest("p", F.lit(eps)), F.lit(1 - eps))
+    return pred.join(t, ["raster_id", "r", "c"]).groupBy("raster_id").agg(F.avg(-(F.col("g") * F.log(p) + (1 - F.col("g")) * F.log(1 - p))).alias("bce"))
+
+
+def contour_widths(labels: DataFrame, border: DataFrame, widths: DataFrame) -> DataFrame:
+    """Mean width w over the border pixels of each component."""
+    keys = ["raster_id", "r", "c"]
+    rows = labels.join(border, keys, "left_semi").join(widths.select(*keys, "w"), keys)
+    return rows.groupBy("raster_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.avg("w").alias("mean_w"))

@@ -81,3 +81,46 @@ def scaled_sizes(images: DataFrame, scales=(0.75, 0.5, 1 / 3), shortest: int = 4
     side = F.least("width", "height")
     last = images.select("raster_id", F.lit(len(scales)).alias("n"), F.floor(F.col("width") * shortest / side).alias("out_w"), F.floor(F.col("height") * shortest / side).alias("out_h"))
     return rows.unionByName(last)
+
+
+def checkpoint_entries(entries: DataFrame) -> DataFrame:
+    """Weights (key, ...) of a checkpoint: of the wrappers state_dict, model_state_dict and model the first that
+    any key has is opened, and keys lose the prefix of a parallel wrapper."""
+    wraps = ("state_dict", "model_state_dict", "model")
+    has = entries.agg(*(F.max(F.col("key").startswith(w + ".").cast("int")).alias(w) for w in wraps))
+    first = F.coalesce(*(F.when(F.col(w) == 1, F.lit(w + ".")) for w in wraps), F.lit(""))
+    rows = entries.join(F.broadcast(has.select(first.alias("_open"))), F.col("key").startswith(F.col("_open")))
+    return weight_keys(rows.withColumn("key", F.expr("substring(key, length(_open) + 1)")).drop("_open"))
+
+
+def required_keys(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted weights; an error when the query runs if one is missing."""
+    j = wanted.select("key").join(entries.withColumn("_has", F.lit(True)), "key", "left")
+    return j.filter(F.assert_true(F.col("_has"), F.concat(F.lit("no weights for "), F.col("key"))).isNull()).drop("_has")
+
+
+def slug(name: Column) -> Column:
+    """Lower case, runs of white space as one underscore."""
+    return F.regexp_replace(F.lower(F.trim(name)), r"\s+", "_")
+
+
+def lq_name(path: Column, template: str = "{}") -> Column:
+    """The small image's path by a template of the name, with the large one's extension."""
+    name, kind = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"(\.[^./]*)?$", 1)
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), name, F.lit(after), kind)
+
+
+def pairs_by_name(gt: DataFrame, lq: DataFrame, template: str = "{}") -> DataFrame:
+    """Paths of two folders paired by the template; an error when the query runs if a large image has no small one."""
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    small = lq.select(F.col("path").alias("lq_path"), base.alias("_name"))
+    j = gt.select(F.col("path").alias("gt_path"), lq_name(F.col("path"), template).alias("_name")).join(small, "_name", "left")
+    return j.filter(F.assert_true(F.col("lq_path").isNotNull(), F.concat(F.lit("no pair for "), F.col("gt_path"))).isNull()).select("gt_path", "lq_path")
+
+
+def concatenated(parts: DataFrame) -> DataFrame:
+    """Frames (video_id, part, frame_idx) numbered through the parts of a video in their order."""
+    n = parts.groupBy("video_id", "part").agg((F.max("frame_idx") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("video_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.join(n.withColumn("_before", F.coalesce(before, F.lit(0))), ["video_id", "part"]).withColumn("frame_no", F.col("_before") + F.col("frame_idx")).drop("_n", "_before")

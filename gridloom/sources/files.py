@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +56,149 @@ def write_changes(changes: DataFrame, folder: str) -> list[str]:
 def write_raster(raster: DataFrame, folder: str) -> None:
     """Pixels by raster; rows in order, so that windows of a raster skip row groups."""
     raster.repartition("raster_id", F.floor(F.col("r") / 512)).sortWithinPartitions("raster_id", "r", "c").write.partitionBy("raster_id").parquet(folder)
+
+
+def union_of_lists(*lists: DataFrame) -> DataFrame:
+    """Paths of several folders as one list, each path once."""
+    out = lists[0].select("path")
+    for other in lists[1:]:
+        out = out.unionByName(other.select("path"))
+    return out.distinct()
+
+
+def feature_union(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """Lines (road_id, mean_width_m, geom) and outlines (label, geom) as rows of one layer; outlines have no width."""
+    a = lines.select(F.lit("centerline").alias("feature_type"), F.col("road_id").cast("long").alias("source_id"), F.col("mean_width_m").cast("double").alias("width_m"), "geom")
+    b = regions.select(F.lit("corridor").alias("feature_type"), F.col("label").cast("long").alias("source_id"), F.lit(None).cast("double").alias("width_m"), "geom")
+    return a.unionByName(b)
+
+
+def polygon_features(rings: DataFrame, scenes: DataFrame) -> DataFrame:
+    """A GeoJSON polygon for each component of scenes that have a system, outer ring first, in the scene's own
+    system; no rows where nothing is placed or found."""
+    placed = rings.join(scenes.filter("srid is not null").select("raster_id", *(f"t_{k}" for k in "abcdef")), "raster_id")
+    at = F.transform("geom", lambda p: F.array(F.col("t_a") * p["x"] + F.col("t_b") * p["y"] + F.col("t_c"), F.col("t_d") * p["x"] + F.col("t_e") * p["y"] + F.col("t_f")))
+    own = placed.withColumn("_xy", at).groupBy("raster_id", "label").agg(F.array_sort(F.collect_list(F.struct((~F.col("outer")).alias("hole"), "ring", "_xy"))).alias("_r"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.transform("_r", lambda r: r["_xy"]).alias("coordinates"))
+    kind = F.struct(F.lit("Feature").alias("type"), F.struct("label", F.lit("corridor").alias("feature_type")).alias("properties"), shape.alias("geometry"))
+    return own.select("raster_id", "label", F.to_json(kind).alias("value"))
+
+
+def pixels_of(found: DataFrame) -> DataFrame:
+    """Pixels (path, r, c, ch, v) of PNG and plain TIFF files (path, content); a gray image has one channel.
+
+    A file is a row, so a scene that is to be read in parallel is written as tiles. Files that cannot be
+    read are an error that names them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    a = decoded(content)
+                except Exception as e:
+                    raise ValueError(f"cannot read {path}: {e}") from e
+                rows = max(1, 200_000 // max(1, a.shape[1] * a.shape[2]))
+                for r0 in range(0, a.shape[0], rows):
+                    some = a[r0 : r0 + rows]
+                    r, c, ch = (x.ravel() for x in np.indices(some.shape, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(r)), pa.array(r + r0), pa.array(c), pa.array(ch), pa.array(some.ravel().astype(float))], ["path", "r", "c", "ch", "v"])
+
+    return found.select("path", "content").mapInArrow(run, "path string, r int, c int, ch int, v double")
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """Rows, columns and channels of a PNG or TIFF."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff(data)
+    raise ValueError("neither PNG nor TIFF")
+
+
+def _png(data: bytes) -> np.ndarray:
+    at, packed, palette = 8, [], None
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body, at = data[at + 8 : at + 8 + n], at + 12 + n
+        if kind == b"IHDR":
+            w, h, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+    if interlaced or bits not in (8, 16):
+        raise ValueError("interlaced, or less than 8 bits")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step, raw = channels * bits // 8, np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, -1)
+    out, above = np.zeros((h, raw.shape[1] - 1), np.uint8), np.zeros(raw.shape[1] - 1, np.uint8)
+    for i in range(h):
+        out[i] = above = _unfiltered(raw[i, 0], raw[i, 1:], above, step)
+    a = (out.view(">u2") if bits == 16 else out).reshape(h, w, channels)
+    return palette[a[:, :, 0]] if colour == 3 else a
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A line of a PNG from what its filter left."""
+    if kind == 0:
+        return line.copy()
+    if kind == 2:
+        return line + above
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+    out = np.zeros(len(line), np.uint8)
+    for i in range(len(line)):
+        left, up, corner = (int(out[i - step]), int(above[i]), int(above[i - step])) if i >= step else (0, int(above[i]), 0)
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            guess = min((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner))[2]
+        out[i] = (int(line[i]) + guess) & 255
+    return out
+
+
+def _tiff(data: bytes) -> np.ndarray:
+    tags, order = tiff_tags(data)
+    w, h, bits, n = tags[256][0], tags[257][0], tags.get(258, (1,))[0], tags.get(277, (1,))[0]
+    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if packing not in (1, 8, 32946) or tags.get(284, (1,))[0] != 1 or 322 in tags:
+        raise ValueError("only strips of interleaved bands, plain or deflated")
+    kind = np.dtype({1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(bits // 8)).newbyteorder(order)
+    parts = [data[a : a + k] for a, k in zip(tags[273], tags[279], strict=True)]
+    a = np.frombuffer(b"".join(zlib.decompress(p) if packing != 1 else p for p in parts), kind)[: h * w * n].reshape(h, w, n)
+    return np.cumsum(a, axis=1, dtype=a.dtype) if predictor == 2 else a
+
+
+def tiff_tags(data: bytes) -> tuple[dict[int, tuple], str]:
+    """Tags of the first image of a TIFF, and its byte order; 33550 and 33922 hold pixel sizes and a tie point."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", data[4:8])[0]
+    tags = {}
+    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        e = at + 2 + 12 * k
+        tag, kind, n = struct.unpack(order + "HHI", data[e : e + 8])
+        code = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}.get(kind)
+        if code is None:
+            continue
+        size = struct.calcsize(code) * n
+        start = e + 8 if size <= 4 else struct.unpack(order + "I", data[e + 8 : e + 12])[0]
+        tags[tag] = struct.unpack(order + (f"{n}s" if code == "s" else code * n), data[start : start + size])
+    return tags, order
+
+
+def scenes_of(found: DataFrame) -> DataFrame:
+    """Catalog rows of TIFF files (path, content): sizes, bands, and the transform and system where they are given."""
+    names = ["path", "width", "height", "count", "srid", "t_a", "t_b", "t_c", "t_d", "t_e", "t_f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                tags, _ = tiff_tags(content)
+                size, tie, keys = tags.get(33550), tags.get(33922), tags.get(34735, ())
+                srid = next((keys[i + 3] for want in (3072, 2048) for i in range(4, len(keys) - 3, 4) if keys[i] == want), None)
+                placed = (size[0], 0.0, tie[3] - tie[0] * size[0], 0.0, -size[1], tie[4] + tie[1] * size[1]) if size and tie else (None,) * 6
+                rows.append((path, tags[256][0], tags[257][0], tags.get(277, (1,))[0], srid, *placed))
+            kinds = [pa.string(), *[pa.int32()] * 4, *[pa.float64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 11, kinds, strict=True)], names)
+
+    return found.select("path", "content").mapInArrow(run, "path string, width int, height int, count int, srid int, " + ", ".join(f"t_{k} double" for k in "abcdef"))
