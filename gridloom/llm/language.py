@@ -14,6 +14,7 @@ never learned from; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,18 +64,33 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares of its grams."""
+    """Buckets of a text, in order, and how many of its grams fall into each."""
     data = np.frombuffer(b" " + normal(text) + _GAP, dtype=np.uint8)
     idx, counts = grams(data)
     idx, n = np.unique(idx[:, counts], return_counts=True)
-    return idx.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)
+    return idx.astype(np.uint16), n.astype(np.uint32)
+
+
+def shares(n: np.ndarray) -> np.ndarray:
+    return (n / max(1, n.sum())).astype(np.float32)
+
+
+def packed(idx: np.ndarray, n: np.ndarray) -> bytes:
+    """Both arrays in few bytes: steps between buckets are small, and so are most counts."""
+    return zlib.compress(np.diff(idx, prepend=np.uint16(0)).tobytes() + n.tobytes(), 6)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    m = len(raw) // 6
+    n = np.frombuffer(raw, np.uint32, offset=2 * m)
+    return np.cumsum(np.frombuffer(raw, np.uint16, m), dtype=np.uint16), n.astype(np.uint16) if not len(n) or n.max() < 1 << 16 else n
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            idx, share = features(text)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([idx.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary()), pa.array([part], pa.int64())], ["lang", "idx", "share", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([packed(*features(text))], pa.binary()), pa.array([part], pa.int64())], ["lang", "grams", "part"])
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> LanguageModel | None:
@@ -88,10 +104,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Lan
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample_docs / len(langs) / n_by_lang[lang])))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20)
     sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)).alias("part"))
-    found = sample.mapInArrow(_sampled, "lang string, idx binary, share binary, part long").collect()
-    found.sort(key=lambda r: (r["lang"], bytes(r["idx"]), bytes(r["share"]), r["part"]))  # the same order in each run
+    found = sample.mapInArrow(_sampled, "lang string, grams binary, part long").collect()
+    found.sort(key=lambda r: (r["lang"], r["grams"], r["part"]))  # the same order in each run
     y = np.array([langs.index(r["lang"]) for r in found])
-    x = [(np.frombuffer(r["idx"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in found]
+    x = [unpacked(r["grams"]) for r in found]
     kept = np.array([r["part"] > 1 for r in found]) if len(found) >= 50 else np.ones(len(found), bool)
     return fit(langs, x, y, kept, seed)
 
@@ -107,9 +123,10 @@ def fit(langs: list[str], x: list, y: np.ndarray, kept: np.ndarray, seed: int) -
         for i in rng.permutation(train_rows):
             rate = RATE * (1 - n / (EPOCHS * len(train_rows)))
             n += 1
-            idx, share = x[i]
+            idx, n_grams = x[i]
             if not len(idx):
                 continue
+            share = shares(n_grams)
             h = share @ emb[idx]
             g = _softmax(h @ w + b)
             g[y[i]] -= 1
@@ -120,7 +137,7 @@ def fit(langs: list[str], x: list, y: np.ndarray, kept: np.ndarray, seed: int) -
             b -= rate * g / np.sqrt(seen_b)
             seen_e[idx] += share * share * float(back @ back)
             emb[idx] -= (rate * share / np.sqrt(seen_e[idx]))[:, None] * back
-    logits = np.array([(share @ emb[idx]) @ w + b for idx, share in x])
+    logits = np.array([(shares(m) @ emb[idx]) @ w + b for idx, m in x])
     check = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(y))
     # the temperature at which the mean confidence is the (smoothed) share of right predictions
     share_right = ((logits[check].argmax(1) == y[check]).sum() + 1) / (len(check) + 2)

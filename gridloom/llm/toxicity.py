@@ -111,7 +111,7 @@ def _vectors(shared, groups: Groups):
                 for w in sorted(own & exchange.keys()):
                     rows += [_numbers(own - {w} | {other}, known) for other in exchange[w]]
                 k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([rows[0].tobytes()] * k, pa.binary()), pa.array([int(toxic)] * k, pa.int32()), pa.array([i > 0 for i in range(k)])], ["x", "base", "toxic", "exchanged"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([None] + [rows[0].tobytes()] * (k - 1), pa.binary()), pa.array([int(toxic)] * k, pa.int32()), pa.array([i > 0 for i in range(k)])], ["x", "base", "toxic", "exchanged"])
 
     return run
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, se
     best = df.filter(a + b >= LEAST_DOCS).withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").collect()
     known = {bytes(r["feature"]): i for i, r in enumerate(best)}
     found = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(known), groups if penalty else ()), "x binary, base binary, toxic int, exchanged boolean").collect()
-    found.sort(key=lambda r: (r["exchanged"], r["toxic"], bytes(r["x"]), bytes(r["base"])))
+    found.sort(key=lambda r: (r["exchanged"], r["toxic"], r["x"], r["base"] or b""))
     own = [(np.frombuffer(r["x"], np.int32), float(r["toxic"])) for r in found if not r["exchanged"]]
     pairs = [(np.setdiff1d(x, y), np.setdiff1d(y, x)) for r in found if r["exchanged"] for x, y in [(np.frombuffer(r["base"], np.int32), np.frombuffer(r["x"], np.int32))]]
     return fit(known, own, [p for p in pairs if len(p[0]) or len(p[1])], seed, penalty)
