@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import additive_quantisation, bpe, exact_topk, html_text, jaccard, language, mixing, sharding, token_counts, toxicity
+from gridloom.llm import (
+    additive_quantisation, bpe, exact_topk, filter_audit, hard_negatives, html_text, jaccard, language, mixing, quality, sharding, token_counts, toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,10 +17,15 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_exact_topk": exact_topk.query,
     "op10_mixing": mixing.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_quality": quality.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
 ORACLE_SQL = {
     "op3_sharding": sharding.SQL,
     "op4_jaccard": jaccard.SQL,
     "op9_exact_topk": exact_topk.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }

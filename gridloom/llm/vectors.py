@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 QUERY_ROWS, SHARD_ROWS, AT_ONCE, FAN = 2048, 8192, 256, 64
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """vec_id and v (doubles) of the vectors that take part: finite, not empty, not zero unless allowed."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id and v (doubles) of the vectors that take part, finite, not empty, not zero unless allowed; and more columns."""
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *more).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
     rows = rows.filter(finite)
     if not zero:
