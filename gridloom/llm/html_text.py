@@ -1,20 +1,23 @@
 """Operator 6: main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element, and every line gets a weight: the length of
-its text outside links. The weights of ``WINDOW`` lines are summed from every line on. A surge is a
-line with weight at which the sum reaches the bar, a dive the next line at which the sum is zero; the
-text from surge to dive is kept, lines without weight between them included. So a run of menu entries
-or of links to other stories has no surge and ends a stretch, while one or two linked lines inside
-an article stay in it.
-
-Markup is evidence for the weights, not the decision. Scripts, styles and what its element or role
-declares to be furniture (navigation, page headers and footers, side bars, hidden parts) leave no
-line. Where the page marks its article (``article`` or ``main``), lines outside have no weight, lines
-inside have the weight of their whole text unless they are list entries of links only, and the bar is
-one character; elsewhere the bar is ``SURGE``. Classes and ids that sound like adverts, notices,
-comments and the like, and forms, are doubtful, as such names also stand on wrappers of whole pages:
-lines get as their level the number of doubtful elements around them, and of the levels the lowest
-one counts at which the lines up to that level have a surge.
+its text outside links. The weights of ``WINDOW`` lines are summed from every line on. A dive is a
+line where the sum is zero; a stretch goes from the first line with weight to the next dive, and has
+a surge where a sum reaches the bar. Stretches with a surge are the text, lines without weight between
+included. So a run of menu entries or of links to other stories ends a stretch and is none itself,
+while one or two linked lines inside an article stay in it, and headings and short opening lines,
+which are next to longer ones, come with these.
+
+Markup is evidence for the weights. Lines of what an element or role declares to be furniture
+(navigation, page headers and footers, side bars, hidden parts) weigh nothing; scripts and styles are
+no lines. Where the page marks its article (``article`` or ``main``), lines outside weigh nothing,
+lines inside have the weight of their whole text unless they are list entries of links only, and the
+bar is one character; elsewhere it is ``SURGE`` for one stretch at least, and once there is one, every
+other stretch that is mostly text outside links counts. Classes and ids that sound like adverts,
+notices, comments and the like, and forms, are doubtful, as such names also stand on wrappers of whole
+pages: lines get as their level the number of doubtful elements around them; the lowest level whose
+own lines have a surge counts, lines of higher levels weigh nothing. What weighs nothing by such
+evidence is no text either where it lies inside a stretch.
 
 Defined results: null or empty html gives an empty text; markup that is not closed ends with its
 parent or the page; repeated rows give one result row each; null ids and urls are kept; an empty
@@ -89,13 +92,14 @@ def _judged(name: str, attrs: str, in_article: bool) -> str:
 @dataclass
 class Lines:
     """Lines of a page in order: text, characters outside links, doubtful elements around it, whether
-    it is in a marked article, and whether it is an entry of a list or table."""
+    it is in a marked article, an entry of a list or table, and declared furniture."""
 
     text: list[str] = field(default_factory=list)
     plain: list[int] = field(default_factory=list)
     level: list[int] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)
     entry: list[bool] = field(default_factory=list)
+    furniture: list[bool] = field(default_factory=list)
 
 
 class _Doubts:
@@ -122,7 +126,7 @@ class _Doubts:
 
 
 def lines_of(page: str) -> tuple[Lines, bool]:
-    """The lines of a page, none for furniture, and whether it marks an article."""
+    """The lines of a page, and whether it marks an article."""
     out, doubts = Lines(), _Doubts()
     text: list[str] = []
     linked = 0
@@ -146,12 +150,13 @@ def lines_of(page: str) -> tuple[Lines, bool]:
                 out.level.append(len(doubts.open) - (within if article else 0))
                 out.inside.append(article > 0)
                 out.entry.append(entry)
+                out.furniture.append(bool(skip))
             text.clear()
         linked = 0
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
+        if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
@@ -164,6 +169,8 @@ def lines_of(page: str) -> tuple[Lines, bool]:
             continue
         name, closing, attrs = name.lower(), bool(m[2]), m[4]
         if skip:
+            if name in BLOCKS:
+                end_line()
             if name == skip and not attrs.rstrip().endswith("/"):
                 depth += -1 if closing else 1
             ends = depth == 0
@@ -176,6 +183,7 @@ def lines_of(page: str) -> tuple[Lines, bool]:
                 nested = max(0, nested - 1) if closing else nested + 1
             if not ends:
                 continue
+            end_line()
             done, skip = skip, ""
             if name == done and depth == 0 and closing:
                 continue
@@ -217,7 +225,7 @@ def lines_of(page: str) -> tuple[Lines, bool]:
             in_link = 1
         elif name in BLOCKS:
             in_link = 0
-    if at < len(page) and not skip:
+    if at < len(page):
         rest = page[at:]
         cut = rest.rfind("<")  # a tag that is cut off at the end of the page
         text.append(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
@@ -225,18 +233,22 @@ def lines_of(page: str) -> tuple[Lines, bool]:
     return out, marked
 
 
-def stretches(weights: np.ndarray, bar: int) -> list[tuple[int, int]]:
-    """Surges and dives: a line with weight whose window reaches the bar, the next line whose window is empty."""
-    padded = np.concatenate([weights, np.zeros(WINDOW, dtype=weights.dtype)])
-    total = np.concatenate([[0], np.cumsum(padded)])
-    window = total[WINDOW:][: len(weights)] - total[: len(weights)]
+def window_sums(weights: np.ndarray) -> np.ndarray:
+    """Weights of each line and the next ones, WINDOW in all."""
+    total = np.concatenate([[0], np.cumsum(np.concatenate([weights, np.zeros(WINDOW, dtype=weights.dtype)]))])
+    return total[WINDOW:][: len(weights)] - total[: len(weights)]
+
+
+def stretches(weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of lines from one with weight to the next dive (exclusive), and the highest sum of a window in it."""
+    sums = window_sums(weights)
+    heavy, empty = np.flatnonzero(weights > 0), np.flatnonzero(sums == 0)
     out, i = [], 0
-    high, empty = np.flatnonzero((window >= bar) & (weights > 0)), np.flatnonzero(window == 0)
-    while (k := np.searchsorted(high, i)) < len(high):
-        surge = int(high[k])
-        d = np.searchsorted(empty, surge)
+    while (k := np.searchsorted(heavy, i)) < len(heavy):
+        start = int(heavy[k])
+        d = np.searchsorted(empty, start)
         dive = int(empty[d]) if d < len(empty) else len(weights)
-        out.append((surge, dive))
+        out.append((start, dive, int(sums[start:dive].max())))
         i = dive + 1
     return out
 
@@ -248,15 +260,18 @@ def main_text(page: str | None) -> str:
     if not lines.text:
         return ""
     length, plain, level = np.array([len(x) for x in lines.text]), np.array(lines.plain), np.array(lines.level)
-    inside, entry = np.array(lines.inside), np.array(lines.entry)
-    marked = marked and bool(inside.any())
-    weight = np.where(inside, np.where(entry & (plain == 0), 0, length), 0) if marked else plain
+    inside, entry, declared = np.array(lines.inside), np.array(lines.entry), np.array(lines.furniture)
+    marked = marked and bool((inside & ~declared).any())
+    weight = np.where(entry & (plain == 0), 0, length) if marked else plain
+    known = declared | ~inside if marked else declared
+    weight = np.where(known, 0, weight)
     for bar in (1,) if marked else (SURGE, 1):
-        for most in range(int(level.max()) + 1):
-            own = np.flatnonzero(level <= most)
-            found = stretches(weight[own], bar)
-            if found:
-                return " ".join(lines.text[own[i]] for a, b in found for i in range(a, b) if inside[own[i]] or not marked)
+        for most in np.unique(level[weight > 0]):
+            if any(top >= bar for _, _, top in stretches(np.where(level == most, weight, 0))):
+                gone = known | (level > most)
+                own = np.where(gone, 0, weight)
+                kept = [(a, b) for a, b, top in stretches(own) if top >= bar or 2 * plain[a:b][~gone[a:b]].sum() > length[a:b][~gone[a:b]].sum()]
+                return " ".join(lines.text[i] for a, b in kept for i in range(a, b) if not gone[i])
     return ""
 
 
