@@ -4,11 +4,17 @@ Features are the presence of a word or of a word's first 4, 5 or 6 bytes. On a b
 sample of the labelled rows (about ``SAMPLE_DOCS``, chosen by a hash of the id) their document
 frequencies in toxic and other texts are counted by a distributed aggregation; those associated
 with the label (G statistic) are kept, ``MAX_FEATURES`` at most. A logistic regression over them is
-fitted by stochastic gradient descent. For each sampled text that names a group of people, versions
-with the group's name exchanged for another of the same kind are made, and the squared change of
-the score is penalised: a neutral mention of a group then moves no score, whatever the sample's
-toxic texts happen to name. The names are a parameter; where no sampled text has one, as in invented
-prose, the penalty has nothing to act on and the fit is a plain logistic regression.
+fitted by stochastic gradient descent. For sampled texts that hold an identity term, versions with the
+term exchanged for another of the same kind are made, and the squared change of the score is
+penalised: a neutral mention of a group then moves no score, whatever the sample's toxic texts happen
+to name.
+
+Identity terms are names of groups, a parameter, and terms found in the sample: frequent words that
+say nothing of the label (G below ``NEUTRAL_G``), ``TERMS`` at most, of which two are of a kind where
+each is the other's nearest by the words next to them (cosine of at least ``LIKE``). Terms that are found
+are features themselves, so that the penalty has something to hold; names are only where the label
+makes them one, so that the exchange for a name that is none takes their weight away. A text gives a version for every name
+in it, and for ``EXCHANGES`` of the terms found at most, those with the smallest hashes.
 
 Defined results: null and empty texts get the score of no features; where all labelled rows are of one
 class every score is next to that class (0 without labelled rows); several labels of a document
@@ -18,13 +24,14 @@ learned from; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
@@ -33,6 +40,9 @@ from gridloom.llm.common import crc_bucket, small_batches, table, with_arrays, w
 SAMPLE_DOCS = 12_000
 MAX_FEATURES = 20_000
 LEAST_G, LEAST_DOCS = 12.0, 3
+#: Terms that are looked for, frequent words that stand for their context, and what makes a term and a pair.
+TERMS, CONTEXTS, NEUTRAL_G, TERM_BYTES, LIKE = 512, 256, 3.84, 3, 0.5
+EXCHANGES = 4
 EPOCHS, RATE, DECAY, COUNTERFACTUAL = 12, 0.5, 1e-4, 1.0
 CACHE_WORDS = 500_000
 FLUSH = 300_000
@@ -66,6 +76,7 @@ class ToxicityModel:
     features: dict[bytes, int]
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # exchanges that the penalty acted on
 
 
 def words(text: str | None) -> set[bytes]:
@@ -98,20 +109,73 @@ def swaps(groups: Groups) -> dict[bytes, list[bytes]]:
     return {a.lower().encode(): [b.lower().encode() for b in g if b != a] for g in groups for a in g}
 
 
-def _vectors(shared, groups: Groups):
-    """Feature numbers of a sampled text, and of its versions with group names exchanged."""
-    exchange = swaps(groups)
+def _contexts(shared):
+    """How often each term has each of the frequent words before it (a number) and behind it (the next ones)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, frequent = shared.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = (text or "").lower().encode().translate(_LETTERS).split()
+                for i, w in enumerate(found):
+                    t = terms.get(w)
+                    if t is not None:
+                        for side, at in ((0, i - 1), (1, i + 1)):
+                            if 0 <= at < len(found) and (k := frequent.get(found[at])) is not None:
+                                seen[t, 2 * k + side] += 1
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "place", "n"])
+
+    return run
+
+
+def kinds_of(terms: list[bytes], counts: np.ndarray) -> Groups:
+    """Pairs of terms, each the other's nearest by cosine of the counts of their neighbours."""
+    if len(terms) < 2:
+        return ()
+    x = counts / np.maximum(np.sqrt((counts * counts).sum(1)), 1e-12)[:, None]
+    like = x @ x.T
+    np.fill_diagonal(like, -1)
+    near = like.argmax(1)
+    return tuple((terms[i].decode("utf-8", "replace"), terms[j].decode("utf-8", "replace")) for i, j in enumerate(near) if i < j and near[j] == i and like[i, j] >= LIKE)
+
+
+def terms_of(sample: DataFrame, df: DataFrame, g: Column, most: int = TERMS) -> Groups:
+    """Identity terms of a sample: df has its features with the numbers a and b of toxic and other texts, g their statistic."""
+    both = F.col("a") + F.col("b")
+    word = (F.col("feature").substr(1, 1) != F.lit(b"^")) & (F.octet_length("feature") > TERM_BYTES)
+    frequent = [bytes(r["feature"]) for r in df.filter(F.col("feature").substr(1, 1) != F.lit(b"^")).orderBy(F.desc(both), "feature").limit(CONTEXTS).select("feature").collect()]
+    terms = [bytes(r["feature"]) for r in df.filter(word & (F.col("a") >= LEAST_DOCS) & (F.col("b") >= LEAST_DOCS)).filter(g < NEUTRAL_G).orderBy(F.desc(both), "feature").limit(most).select("feature").collect()]
+    terms = [t for t in terms if t.decode("utf-8", "replace").encode() == t]
+    if not terms:
+        return ()
+    shared = sample.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, {w: i for i, w in enumerate(frequent)}))
+    counts = np.zeros((len(terms), 2 * len(frequent)))
+    for r in sample.mapInArrow(_contexts(shared), "term int, place int, n long").groupBy("term", "place").agg(F.sum("n").alias("n")).collect():
+        counts[r["term"], r["place"]] = r["n"]
+    return kinds_of(terms, counts)
+
+
+def _vectors(shared, named: Groups, found: Groups, most: int = EXCHANGES):
+    """Feature numbers of a sampled text, and those that go and come where a term of it is exchanged: every name, and
+    of the terms found ``most`` versions."""
+    names, terms = swaps(named), swaps(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = words(text)
-                rows = [_numbers(own, known)]
-                for w in sorted(own & exchange.keys()):
-                    rows += [_numbers(own - {w} | {other}, known) for other in exchange[w]]
-                k = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([None] + [rows[0].tobytes()] * (k - 1), pa.binary()), pa.array([int(toxic)] * k, pa.int32()), pa.array([i > 0 for i in range(k)])], ["x", "base", "toxic", "exchanged"])
+                base, gone, new = _numbers(own, known), [], []
+                versions = sorted((w, other) for w in own & names.keys() for other in names[w])
+                more = [(w, other) for w in own & terms.keys() for other in terms[w]]
+                for w, other in versions + sorted(more, key=lambda v: (zlib.crc32(v[0] + b" " + v[1], len(own)), v))[:most]:
+                    x = _numbers(own - {w} | {other}, known)
+                    gone.append(np.setdiff1d(base, x).tobytes())
+                    new.append(np.setdiff1d(x, base).tobytes())
+                blob = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([base.tobytes()], pa.binary()), pa.array([int(toxic)], pa.int32()), pa.array([gone], blob), pa.array([new], blob)], ["x", "toxic", "gone", "new"])
 
     return run
 
@@ -120,9 +184,9 @@ def _numbers(own: set[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array(sorted({known[f] for w in own for f in of_word(w) if f in known}), dtype=np.int32)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 8, groups: Groups = GROUPS, penalty: float = COUNTERFACTUAL) -> ToxicityModel:
-    """docs: doc_id and text; labels: doc_id and toxic (0 or 1); groups: names that stand for one another;
-    penalty: weight of changed scores (0: a plain logistic regression)."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 8, groups: Groups = GROUPS, penalty: float = COUNTERFACTUAL, terms: int = TERMS) -> ToxicityModel:
+    """docs: doc_id and text; labels: doc_id and toxic (0 or 1); groups: names that stand for one another; terms: how
+    many are looked for in the sample; penalty: weight of changed scores (0: a plain logistic regression)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
@@ -150,11 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, se
 
     g = 2 * (term(a, (a + b) * (pos / total)) + term(b, (a + b) * (neg / total)) + term(F.lit(pos) - a, (F.lit(total) - a - b) * (pos / total)) + term(F.lit(neg) - b, (F.lit(total) - a - b) * (neg / total)))
     best = df.filter(a + b >= LEAST_DOCS).withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").collect()
-    known = {bytes(r["feature"]): i for i, r in enumerate(best)}
-    found = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(known), groups if penalty else ()), "x binary, base binary, toxic int, exchanged boolean").collect()
-    found.sort(key=lambda r: (r["exchanged"], r["toxic"], r["x"], r["base"] or b""))
-    own = [(np.frombuffer(r["x"], np.int32), float(r["toxic"])) for r in found if not r["exchanged"]]
-    pairs = [(np.setdiff1d(x, y), np.setdiff1d(y, x)) for r in found if r["exchanged"] for x, y in [(np.frombuffer(r["base"], np.int32), np.frombuffer(r["x"], np.int32))]]
+    alike = terms_of(sample, df, g, terms) if terms else ()
+    features = [bytes(r["feature"]) for r in best]
+    features += sorted(swaps(alike).keys() - set(features))
+    known = {f: i for i, f in enumerate(features)}
+    found = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(known), groups, alike), "x binary, toxic int, gone array<binary>, new array<binary>").collect()
+    found.sort(key=lambda r: (r["toxic"], r["x"], r["gone"], r["new"]))
+    own = [(np.frombuffer(r["x"], np.int32), float(r["toxic"])) for r in found]
+    pairs = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for r in found for x, y in zip(r["gone"], r["new"], strict=True)]
     return fit(known, own, [p for p in pairs if len(p[0]) or len(p[1])], seed, penalty)
 
 
@@ -165,7 +232,7 @@ def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int, penalty: fl
     each epoch every pair is met once on average, however many there are to a row."""
     rng = np.random.default_rng(seed)
     w, seen, b = np.zeros(len(known)), np.ones(len(known)), -2.0
-    each = len(pairs) / max(1, len(rows))
+    each = len(pairs) / max(1, len(rows)) if penalty else 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             x, y = rows[i]
@@ -182,7 +249,7 @@ def fit(known: dict[bytes, int], rows: list, pairs: list, seed: int, penalty: fl
                 step = min(1.0, penalty) * change / max(1, len(gone) + len(new))
                 w[gone] -= step
                 w[new] += step
-    return ToxicityModel(known, w, float(b))
+    return ToxicityModel(known, w, float(b), len(pairs) if penalty else 0)
 
 
 def _score(shared, at: int):

@@ -75,18 +75,19 @@ def test_far_leaves_are_not_scored():
         assert at[i][: len(want)].tolist() == want and (got[i][len(want) :] == hn.LOWEST).all()
 
 
-def test_cells_of_the_upper_tree(spark):
+def test_cells_of_the_upper_tree():
     """Every row that is among the best lies in a cell that its query visits."""
-    rows = random_rows(3000, 3, 2, 6)
-    v = np.floor(256 * np.array([r[2] for r in rows]))
-    ids, labels, most = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), float((v * v).sum(1).max())
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 3))
+    v = np.floor(256 * v / np.sqrt((v * v).sum(1))[:, None])
+    ids, labels, most = np.arange(3000), rng.integers(0, 2, 3000), float((v * v).sum(1).max())
     top = hn.top_of(ids[:400], labels[:400], v[:400], most, 16, 3)
     cell = top.tree.route(hn.augmented(v, most))
     q = hn.Queries(ids[:100], labels[:100], v[:100], np.full(100, hn.LOWEST + 1), np.full(100, 2**63 - 1), True)
     reach = hn.reachable(top, q, 5)
     scored = q.qualified(ids, labels, v)
     best = np.argsort(-scored.astype(float), axis=1, kind="stable")[:, :5]
-    assert reach[np.arange(100)[:, None], cell[best]].all() and reach.mean() < 0.8
+    assert reach[np.arange(100)[:, None], cell[best]].all() and reach.mean() < 0.6
 
 
 def test_same_as_sql(spark):
