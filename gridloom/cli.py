@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from gridloom.functions import scene
 from gridloom.plans import change, evidence, extract
 from gridloom.session import local_session, ship, written
-from gridloom.sources import files
+from gridloom.sources import files, raster
 
 
 def catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Scenes of the TIFF files of a folder with ids of their own, and their files."""
-    found = files.images(spark, path, "*.tif*")
-    scenes = files.scenes_of(found).withColumns({"raster_id": F.abs(F.xxhash64("path")), "projected": F.col("srid").isNull() | (F.col("srid") != 4326)})
-    return written(scenes, "scenes"), found
+    """Scenes of the TIFF files of a folder with ids of their own, and their blocks."""
+    scenes = raster.scenes(spark, path).withColumns({"raster_id": F.abs(F.xxhash64("path")), "projected": F.col("srid").isNull() | (F.col("srid") != 4326)})
+    return written(scenes, "scenes"), raster.blocks(spark, path)
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
@@ -33,15 +32,14 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
 def extracted(spark: SparkSession, path: str, out: str, gsd: float | None = None, t: float = 0.35) -> DataFrame:
     """Roads of the scenes by the evidence predictor: segments that qualify, as a table and as GeoJSON lines.
 
-    Scenes of one ground distance share a run; it is given, or the largest of the catalog."""
+    Every scene has its own ground distance, or all have the one that is given; 1 where none is known."""
     scenes, found = catalog(spark, path)
-    known = scene.described(scenes)
-    gsd = gsd or known.agg(F.max("gsd")).first()[0] or 1.0
-    pixels = files.pixels_of(found).join(scenes.select("path", "raster_id"), "path")
+    distances = scene.described(scenes).select("raster_id", F.lit(gsd).alias("gsd") if gsd else F.coalesce("gsd", F.lit(1.0)).alias("gsd"))
+    pixels = raster.pixels(found).join(scenes.select("path", "raster_id"), "path")
     bands = pixels.groupBy("raster_id", "r", "c").agg(*(F.coalesce(F.max(F.when(F.col("ch") == k, F.col("v"))), F.max(F.when(F.col("ch") == 0, F.col("v")))).alias(b) for k, b in enumerate(("red", "green", "blue"))))
     prob = written(evidence.probability(written(bands, "bands"), scenes), "probability")
     m = written(extract.clean_mask(prob, scenes, t), "mask")
-    roads = written(extract.lines(extract.road_segments(m, prob, scenes, gsd).filter("qualifies"), scenes), "roads")
+    roads = written(extract.lines(extract.road_segments(m, prob, scenes, distances).filter("qualifies"), scenes), "roads")
     roads.write.mode("overwrite").parquet(f"{out}/roads")
     files.features(roads, ["road_id", "length_m", "mean_width_m", "confidence"]).write.mode("overwrite").text(f"{out}/roads_geojson")
     return roads

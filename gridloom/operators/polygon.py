@@ -74,3 +74,18 @@ def rings(labels: DataFrame) -> DataFrame:
 def measures(found: DataFrame) -> DataFrame:
     """Perimeter and area of each component from its rings."""
     return found.groupBy(*KEYS).agg(F.sum("perimeter").alias("perimeter"), F.sum("area").alias("area"))
+
+
+def polygons(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(raster_id, label, part, area, rings): polygons of each component from its rings, the outer one first.
+
+    A ring runs along pixels that are connected by their sides, so the outer ring and the holes of one
+    polygon have the same label of four neighbours (part) at the pixel that names them; no ring is compared
+    with another. A component whose pieces touch at corners has several polygons."""
+    from gridloom.operators.components import label
+
+    four = label(labels.select("raster_id", "r", "c"), eight=False).withColumnRenamed("label", "part")
+    place = F.floor(F.col("ring") / 4)
+    named = found.withColumns({"r": F.floor(place / (1 << 22)).cast("int"), "c": (place % (1 << 22)).cast("int")}).join(four, ["raster_id", "r", "c"])
+    own = named.groupBy(*KEYS, "part").agg(F.sum("area").alias("area"), F.array_sort(F.collect_list(F.struct((~F.col("outer")).alias("hole"), "ring", "geom"))).alias("_r"))
+    return own.select(*KEYS, "part", "area", F.transform("_r", lambda x: x["geom"]).alias("rings"))

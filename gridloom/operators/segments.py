@@ -19,19 +19,21 @@ def qualifies_feet(mean: Column, median: Column, top: Column, width_ft: float =
     return (mean >= width_ft) | (median >= F.lit(width_ft * 0.85)) | (top >= F.lit(width_ft * 1.25))
 
 
-def segment_metrics(labels: DataFrame, distances: DataFrame, prob: DataFrame, gsd: float, width_m: float = TWENTY_FEET_M, length_m: float = 15.0, least: int = 3, coords: bool = True) -> DataFrame:
-    """A row for each skeleton component of ``least`` pixels or more. Length is pixels times gsd.
+def segment_metrics(labels: DataFrame, distances: DataFrame, prob: DataFrame, gsd: float | DataFrame, width_m: float = TWENTY_FEET_M, length_m: float = 15.0, least: int = 3, coords: bool = True) -> DataFrame:
+    """A row for each skeleton component of ``least`` pixels or more. Length is pixels times gsd, a number or a
+    table (raster_id, gsd) with that of each scene.
 
     Pixels of a segment are listed in raster order. Widths and lengths are rounded to 2 places,
     confidence to 3; qualification is decided before rounding."""
     keys = ["raster_id", "r", "c"]
-    g = max(gsd, 1e-6)
-    rows = labels.join(distances, keys).join(prob.select(*keys, "p"), keys).withColumn("w", F.lit(2.0) * F.col("dist") * F.lit(g))
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.min("w").alias("low"), F.max("w").alias("top"), F.avg("p").alias("conf")]
+    rows = labels.join(distances, keys).join(prob.select(*keys, "p"), keys)
+    rows = rows.join(gsd.select("raster_id", F.greatest("gsd", F.lit(1e-6)).alias("_g")), "raster_id") if isinstance(gsd, DataFrame) else rows.withColumn("_g", F.lit(max(gsd, 1e-6)))
+    rows = rows.withColumn("w", F.lit(2.0) * F.col("dist") * F.col("_g"))
+    aggs = [F.first("_g").alias("_g"), F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.min("w").alias("low"), F.max("w").alias("top"), F.avg("p").alias("conf")]
     if coords:
         aggs.append(F.transform(F.array_sort(F.collect_list(F.struct("r", "c"))), lambda x: F.struct(x["c"].alias("x"), x["r"].alias("y"))).alias("coords"))
     s = rows.groupBy("raster_id", "label").agg(*aggs).filter(F.col("n") >= least)
-    length = F.col("n") * F.lit(g)
+    length = F.col("n") * F.col("_g")
     out = s.select(
         "raster_id", F.col("label").alias("segment_id"), *(["coords"] if coords else []),
         F.round(length, 2).alias("length_m"), F.round("mean", 2).alias("mean_width_m"), F.round("median", 2).alias("median_width_m"),

@@ -61,7 +61,7 @@ def clean_mask(prob: DataFrame, scenes: DataFrame, t: float = 0.35, area: int =
     return components.write_back(labels, components.shape_filter(components.stats(labels), area))
 
 
-def road_segments(m: DataFrame, prob: DataFrame, scenes: DataFrame, gsd: float, **limits) -> DataFrame:
+def road_segments(m: DataFrame, prob: DataFrame, scenes: DataFrame, gsd: float | DataFrame, **limits) -> DataFrame:
     """Metrics of the segments of a mask's skeleton."""
     return segments.segment_metrics(components.label(skeleton.skeleton(m)), distance.distance(m, scenes), prob, gsd, **limits)
 
@@ -80,7 +80,7 @@ def lines(found: DataFrame, scenes: DataFrame) -> DataFrame:
     return rows.select(F.col("segment_id").alias("road_id"), "length_m", "mean_width_m", "median_width_m", "min_width_m", "max_width_m", "confidence", "qualifies", "geom", "srid")
 
 
-def extract(raster: DataFrame, scenes: DataFrame, gsd: float, tile: int = 512, overlap: int = 128, predict: Predictor = tile_range, t: float = 0.35) -> DataFrame:
+def extract(raster: DataFrame, scenes: DataFrame, gsd: float | DataFrame, tile: int = 512, overlap: int = 128, predict: Predictor = tile_range, t: float = 0.35) -> DataFrame:
     """The whole chain; qualifying segments only."""
     from gridloom.session import written
 

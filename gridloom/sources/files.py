@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import to_wgs84
+from gridloom.sources import tiff
 
 
 def images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -73,21 +74,31 @@ def feature_union(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def polygon_features(rings: DataFrame, scenes: DataFrame) -> DataFrame:
-    """A GeoJSON polygon for each component of scenes that have a system, outer ring first, in the scene's own
-    system; no rows where nothing is placed or found."""
-    placed = rings.join(scenes.filter("srid is not null").select("raster_id", *(f"t_{k}" for k in "abcdef")), "raster_id")
-    at = F.transform("geom", lambda p: F.array(F.col("t_a") * p["x"] + F.col("t_b") * p["y"] + F.col("t_c"), F.col("t_d") * p["x"] + F.col("t_e") * p["y"] + F.col("t_f")))
-    own = placed.withColumn("_xy", at).groupBy("raster_id", "label").agg(F.array_sort(F.collect_list(F.struct((~F.col("outer")).alias("hole"), "ring", "_xy"))).alias("_r"))
-    shape = F.struct(F.lit("Polygon").alias("type"), F.transform("_r", lambda r: r["_xy"]).alias("coordinates"))
-    kind = F.struct(F.lit("Feature").alias("type"), F.struct("label", F.lit("corridor").alias("feature_type")).alias("properties"), shape.alias("geometry"))
-    return own.select("raster_id", "label", F.to_json(kind).alias("value"))
+def polygon_features(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
+    """A GeoJSON Polygon, or MultiPolygon where there are several, for each component of scenes that have a system,
+    in the scene's own system; outer rings run against the clock and holes with it. polygons: of operators.polygon;
+    no rows where nothing is placed or found."""
+    placed = polygons.join(scenes.filter("srid is not null").select("raster_id", *(f"t_{k}" for k in "abcdef")), "raster_id")
+    turned = F.col("t_a") * F.col("t_e") - F.col("t_b") * F.col("t_d") < 0
+
+    def at(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: F.array(F.col("t_a") * p["x"] + F.col("t_b") * p["y"] + F.col("t_c"), F.col("t_d") * p["x"] + F.col("t_e") * p["y"] + F.col("t_f")))
+        return F.when(turned, F.reverse(points)).otherwise(points)
+
+    own = placed.withColumn("_xy", F.transform("rings", at)).groupBy("raster_id", "label").agg(F.array_sort(F.collect_list(F.struct("part", "_xy"))).alias("_p"))
+
+    def feature(kind: str, coordinates: Column) -> Column:
+        shape = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("label", F.lit("corridor").alias("feature_type")).alias("properties"), shape.alias("geometry")))
+
+    one, many = feature("Polygon", F.col("_p")[0]["_xy"]), feature("MultiPolygon", F.transform("_p", lambda p: p["_xy"]))
+    return own.select("raster_id", "label", F.when(F.size("_p") == 1, one).otherwise(many).alias("value"))
 
 
 def pixels_of(found: DataFrame) -> DataFrame:
-    """Pixels (path, r, c, ch, v) of PNG and plain TIFF files (path, content); a gray image has one channel.
+    """Pixels (path, r, c, ch, v) of PNG and TIFF files (path, content); a gray image has one channel.
 
-    A file is a row, so a scene that is to be read in parallel is written as tiles. Files that cannot be
+    A file is a row; :mod:`gridloom.sources.raster` reads TIFF files block by block. Files that cannot be
     read are an error that names them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,7 @@ def decoded(data: bytes) -> np.ndarray:
     """Rows, columns and channels of a PNG or TIFF."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return _png(data)
-    if data[:4] in (b"II*\0", b"MM\0*"):
+    if data[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         return _tiff(data)
     raise ValueError("neither PNG nor TIFF")
 
@@ -157,32 +168,13 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np
 
 
 def _tiff(data: bytes) -> np.ndarray:
-    tags, order = tiff_tags(data)
-    w, h, bits, n = tags[256][0], tags[257][0], tags.get(258, (1,))[0], tags.get(277, (1,))[0]
-    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-    if packing not in (1, 8, 32946) or tags.get(284, (1,))[0] != 1 or 322 in tags:
-        raise ValueError("only strips of interleaved bands, plain or deflated")
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(bits // 8)).newbyteorder(order)
-    parts = [data[a : a + k] for a, k in zip(tags[273], tags[279], strict=True)]
-    a = np.frombuffer(b"".join(zlib.decompress(p) if packing != 1 else p for p in parts), kind)[: h * w * n].reshape(h, w, n)
-    return np.cumsum(a, axis=1, dtype=a.dtype) if predictor == 2 else a
-
-
-def tiff_tags(data: bytes) -> tuple[dict[int, tuple], str]:
-    """Tags of the first image of a TIFF, and its byte order; 33550 and 33922 hold pixel sizes and a tie point."""
-    order = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        e = at + 2 + 12 * k
-        tag, kind, n = struct.unpack(order + "HHI", data[e : e + 8])
-        code = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d"}.get(kind)
-        if code is None:
-            continue
-        size = struct.calcsize(code) * n
-        start = e + 8 if size <= 4 else struct.unpack(order + "I", data[e + 8 : e + 12])[0]
-        tags[tag] = struct.unpack(order + (f"{n}s" if code == "s" else code * n), data[start : start + size])
-    return tags, order
+    image = tiff.Image(lambda at, n: data[at : at + n])
+    out = np.zeros((image.height, image.width, image.bands), image.kind.newbyteorder("="))
+    for b in image.blocks():
+        a = image.decode(b, data[b.at : b.at + b.size])
+        k = max(0, b.band)
+        out[b.row : b.row + b.rows, b.col : b.col + b.cols, k : k + a.shape[2]] = a
+    return out
 
 
 def scenes_of(found: DataFrame) -> DataFrame:
@@ -193,11 +185,8 @@ def scenes_of(found: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                tags, _ = tiff_tags(content)
-                size, tie, keys = tags.get(33550), tags.get(33922), tags.get(34735, ())
-                srid = next((keys[i + 3] for want in (3072, 2048) for i in range(4, len(keys) - 3, 4) if keys[i] == want), None)
-                placed = (size[0], 0.0, tie[3] - tie[0] * size[0], 0.0, -size[1], tie[4] + tie[1] * size[1]) if size and tie else (None,) * 6
-                rows.append((path, tags[256][0], tags[257][0], tags.get(277, (1,))[0], srid, *placed))
+                image = tiff.Image(lambda at, n, content=content: content[at : at + n])
+                rows.append((path, image.width, image.height, image.bands, image.srid(), *(image.transform() or (None,) * 6)))
             kinds = [pa.string(), *[pa.int32()] * 4, *[pa.float64()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 11, kinds, strict=True)], names)
 

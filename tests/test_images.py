@@ -1,5 +1,6 @@
 """Colour evidence, outlines, image files, enhancement, data-set items and the command line."""
 
+import json
 import math
 import random
 import struct
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import cli, registry_images
-from gridloom.operators import polygon
+from gridloom.operators import components, polygon, segments
 from gridloom.plans import enhance, evidence, items
 from gridloom.sources import files, scenes, virtual
 from tests.test_queries import TABLES, rows
@@ -191,6 +192,54 @@ def test_items(spark, sf):
     assert sorted(r["out"] for r in pool) == list(range(20)) and any(r["out"] != r["raster_id"] for r in pool) and all(r["out"] // 8 == r["idx"] // 8 for r in pool)
 
 
+def shoelace(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+
+
+def test_polygons_with_holes_and_several_pieces(spark):
+    """Areas equal pixels, outer rings run against the clock, holes with it; pieces that touch at corners are polygons of their own."""
+    art = {1: ["#.", ".#"], 2: ["#####", "#...#", "#.#.#", "#...#", "#####"], 3: ["####", "#..#", "#.##", "####"], 4: ["#####", "##..#", "#.#.#", "#..##", "#####"], 5: ["#"]}
+    cells = [(k, r, c) for k, rows in art.items() for r, line in enumerate(rows) for c, x in enumerate(line) if x == "#"]
+    m = spark.createDataFrame(cells, "raster_id long, r int, c int")
+    labels = components.label(m)
+    found = polygon.polygons(polygon.rings(labels), labels)
+    pixels = {(r["raster_id"], r["label"]): r["count"] for r in labels.groupBy("raster_id", "label").count().collect()}
+    assert {k: sum(r["area"] for r in found.collect() if (r["raster_id"], r["label"]) == k) for k in pixels} == pixels
+    catalog = spark.createDataFrame([(k, *((0.5, 0.0, 10.0, 0.0, -0.5, 20.0) if k != 5 else (None,) * 6), 32643 if k != 5 else None) for k in art], "raster_id long, " + ", ".join(f"t_{x} double" for x in "abcdef") + ", srid int")
+    shapes = {(r["raster_id"], r["label"]): json.loads(r["value"])["geometry"] for r in files.polygon_features(found, catalog).collect()}
+    assert {k[0] for k in shapes} == {1, 2, 3, 4}
+    for k, g in shapes.items():
+        parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
+        assert len(parts) > 1 or g["type"] == "Polygon"
+        for outer, *holes in parts:
+            assert shoelace(outer) > 0 and all(shoelace(h) < 0 for h in holes) and all(ring[0] == ring[-1] for ring in (outer, *holes))
+        assert sum(shoelace(ring) for part in parts for ring in part) == pixels[k] / 4
+    kinds = {k: sorted((g["type"], len(g["coordinates"])) for (i, _), g in shapes.items() if i == k) for k in art}
+    # two pixels at a corner; a ring with an island in its hole; a hole with a notch; a band through a ring that touches it at corners
+    assert kinds[1] == [("MultiPolygon", 2)] and kinds[2] == [("Polygon", 1), ("Polygon", 2)] and kinds[3] == [("Polygon", 2)]
+    assert kinds[4][0][0] == "MultiPolygon"
+
+
+def test_each_scene_has_its_own_ground_distance(spark, tmp_path):
+    """A fine and a coarse scene of the same pixels: widths and lengths differ by the factor between them."""
+    a = np.full((80, 120, 3), 40, np.uint8)
+    a[:, :, 1], a[30:50] = 160, 100
+    a[0, 0], a[0, 1] = 0, 255
+    (tmp_path / "in").mkdir()
+    for name, gsd in (("fine", 0.25), ("coarse", 1.0)):
+        (tmp_path / "in" / f"{name}.tif").write_bytes(tiff(a, gsd, 32643))
+    scenes = {r["raster_id"]: r["path"].rpartition("/")[2] for r in cli.catalog(spark, str(tmp_path / "in"))[0].collect()}
+    cli.extracted(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert set(scenes.values()) == {"fine.tif", "coarse.tif"}
+    labels = spark.createDataFrame([(i, 5, c, 5) for i in (1, 2) for c in range(10)], "raster_id long, r int, c int, label long")
+    values = labels.drop("label").withColumns({"dist": F.lit(4.0), "p": F.lit(0.5)})
+    each = spark.createDataFrame([(1, 0.25), (2, 1.0)], "raster_id long, gsd double")
+    got = {r["raster_id"]: (r["mean_width_m"], r["length_m"], r["qualifies"]) for r in segments.segment_metrics(labels, values, values, each, width_m=6.0, length_m=5.0).collect()}
+    assert got == {1: (2.0, 2.5, False), 2: (8.0, 10.0, True)}
+    roads = spark.read.parquet(str(tmp_path / "out" / "roads")).collect()
+    assert roads and {round(r["mean_width_m"]) for r in roads} <= set(range(15, 30))
+
+
 def test_command_line(spark, tmp_path, capsys, sf):
     rng = np.random.default_rng(3)
     a = np.stack([rng.integers(50, 70, (120, 150)), rng.integers(150, 190, (120, 150)), rng.integers(40, 60, (120, 150))], -1).astype(np.uint8)
