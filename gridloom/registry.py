@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import color, geometry, scene
-from gridloom.operators import blend, components, distance, mask, segments, skeleton, stencil, stretch, tiling
+from gridloom.operators import blend, chunks, components, distance, mask, segments, skeleton, stencil, stretch, tiling
 from gridloom.plans import change, extract, lists
 from gridloom.sources import files, virtual
 from gridloom.sql import SQL
@@ -112,22 +112,41 @@ def _settings(spark, sf) -> DataFrame:
 
 def _bridged(spark, sf) -> DataFrame:
     p = _prob(spark, sf)
-    return skeleton.bridged(skeleton.skeleton(mask.threshold(p, 0.6)), p, gap=6.0)
+    return skeleton.bridged(skeleton.skeleton(mask.threshold(p, 0.6)), p, gap=28.0)
+
+
+#: Side of the tiles into which the raster of these queries, 64 columns wide, is cut.
+SIDE = 32
+
+
+def _mask_tiles(spark, sf) -> chunks.Chunks:
+    return chunks.from_pixels(_mask(spark, sf), _scene(spark, sf), tile=SIDE)
+
+
+def _unit_tiles(spark, sf) -> chunks.Chunks:
+    return chunks.from_pixels(_unit(spark, sf), _scene(spark, sf), "v", SIDE)
 
 
 def _ridges(spark, sf) -> DataFrame:
     """Bright and dark ridges over all scales, the stronger of both."""
-    v, sc = _unit(spark, sf), _scene(spark, sf)
-    both = stencil.frangi(v, sc).unionByName(stencil.frangi(v, sc, bright=False))
-    return _rounded(both.groupBy("raster_id", "r", "c").agg(F.max("v").alias("v")), "v")
+    return _rounded(chunks.to_pixels(chunks.frangi(_unit_tiles(spark, sf), dark=True)), "v")
+
+
+def _gradient_tiles(spark, sf) -> DataFrame:
+    names = ("gx", "gy", "magnitude")
+    return _rounded(chunks.to_pixels(chunks.gradient(_unit_tiles(spark, sf)), names), *names)
+
+
+def _label_tiles(spark, sf) -> DataFrame:
+    return chunks.to_pixels(chunks.components(_mask_tiles(spark, sf)), ("label",)).withColumn("label", F.col("label") - 1)
 
 
 QUERIES: dict[str, Query] = {
     # tiles
     "tile_windows": lambda s, d: tiling.windows(virtual.scene_catalog(s, d)),
-    "tile_windows_sliding": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 128),
+    "tile_windows_sliding": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 64),
     "tile_windows_tail": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 64, "append"),
-    "subimage_grid": lambda s, d: tiling.crops(virtual.scene_catalog(s, d), 240, 120, 60),
+    "subimage_grid": lambda s, d: tiling.crops(virtual.scene_catalog(s, d), 480, 240, 0),
     "tile_batches": lambda s, d: tiling.batches(tiling.windows(virtual.scene_catalog(s, d))).groupBy("raster_id", "batch_id").agg(F.count(F.lit(1)).alias("tiles")),
     "pad_sizes": lambda s, d: tiling.pad_sizes(virtual.scene_catalog(s, d), 32),
     "training_patches": lambda s, d: tiling.training_patches(virtual.scene_catalog(s, d), 128, 32),
@@ -147,7 +166,7 @@ QUERIES: dict[str, Query] = {
     "threshold_mask": _mask,
     "dilate_rect": lambda s, d: mask.dilate(_mask(s, d), _scene(s, d), 1),
     "erode_rect": lambda s, d: mask.erode(mask.threshold(_prob(s, d), 0.35), _scene(s, d), 1),
-    "close_open": lambda s, d: mask.close_open(_mask(s, d), _scene(s, d), 1, 1),
+    "close_open": lambda s, d: mask.close_open(_mask(s, d), _scene(s, d), 2, 1),
     "dilate_2x2": lambda s, d: mask.dilate_down_right(_mask(s, d), _scene(s, d)),
     "dilate_plus": lambda s, d: mask.dilate_plus(_mask(s, d), _scene(s, d)),
     "erode_plus": lambda s, d: mask.erode_plus(mask.threshold(_prob(s, d), 0.35), _scene(s, d)),
@@ -173,6 +192,17 @@ QUERIES: dict[str, Query] = {
     "frangi_ridge": _ridges,
     "contrast_equalised": lambda s, d: stencil.clahe(_unit(s, d).withColumn("v", F.col("v") * 255), _scene(s, d)),
     "edges": lambda s, d: stencil.edges(_unit(s, d).withColumn("v", F.col("v") * 255)),
+    # the same on tables of tiles
+    "tiles_dilate": lambda s, d: chunks.to_pixels(chunks.dilate(_mask_tiles(s, d), 1), ()),
+    "tiles_erode": lambda s, d: chunks.to_pixels(chunks.erode(chunks.from_pixels(mask.threshold(_prob(s, d), 0.35), _scene(s, d), tile=SIDE), 1), ()),
+    "tiles_close_open": lambda s, d: chunks.to_pixels(chunks.close_open(_mask_tiles(s, d), 2, 1), ()),
+    "tiles_plus": lambda s, d: chunks.to_pixels(chunks.plus(_mask_tiles(s, d), True), ()),
+    "tiles_gaussian": lambda s, d: _rounded(chunks.to_pixels(chunks.gaussian(_unit_tiles(s, d), 0.8, 1)), "v"),
+    "tiles_sobel": _gradient_tiles,
+    "tiles_median": lambda s, d: _rounded(chunks.to_pixels(chunks.median(_unit_tiles(s, d), 3)), "v"),
+    "tiles_neighbours": lambda s, d: chunks.to_pixels(chunks.neighbour_count(_mask_tiles(s, d)), ("n",)).withColumn("n", F.col("n").cast("long")),
+    "tiles_components": _label_tiles,
+    "tiles_distance": lambda s, d: _rounded(chunks.to_pixels(chunks.distance(_mask_tiles(s, d)), ("dist",)).filter("dist > 0"), "dist"),
     # components and segments
     "components": _labels,
     "component_stats": lambda s, d: _rounded(components.stats(_labels(s, d)), "diagonal", "aspect"),

@@ -108,6 +108,7 @@ def _eroded(source: str, offsets: str) -> str:
     return f"SELECT m.raster_id, m.r, m.c FROM {source} m, {offsets} o, scene LEFT JOIN {source} n ON n.r = m.r + dr AND n.c = m.c + dc WHERE m.r + dr BETWEEN 0 AND h - 1 AND m.c + dc BETWEEN 0 AND w - 1 GROUP BY m.raster_id, m.r, m.c HAVING count(*) = count(n.r)"
 
 
+_SQUARE5 = "(SELECT x.i - 2 AS dr, y.i - 2 AS dc FROM range(5) x(i), range(5) y(i))"
 _SQUARE = "(SELECT x.d AS dr, y.d AS dc FROM step x, step y)"
 _TILED = """, placed AS (SELECT e.*, t.tile_id, t.row_off, t.col_off FROM emb e JOIN (SELECT row_off, col_off, row_number() OVER (ORDER BY row_off, col_off) - 1 AS tile_id FROM (SELECT *, unnest(list_sort(list_distinct(list_transform(range(0, w, 24), lambda x: least(x, greatest(w - 32, 0)))))) AS col_off FROM (SELECT *, unnest(list_sort(list_distinct(list_transform(range(0, h, 24), lambda x: least(x, greatest(h - 32, 0)))))) AS row_off FROM scene))) t
   ON e.r >= row_off AND e.r < row_off + 32 AND e.c >= col_off AND e.c < col_off + 32), pred AS (SELECT *, CASE WHEN max(v) OVER t > min(v) OVER t THEN (v - min(v) OVER t) / (max(v) OVER t - min(v) OVER t) ELSE 0 END AS p FROM placed WINDOW t AS (PARTITION BY tile_id))"""
@@ -122,9 +123,9 @@ _STATS = "raster_id, label, area, x, y, bbox_w, bbox_h, round(diagonal, 6) AS di
 
 SQL = {
     "tile_windows": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), _TILE.format(512) + ", width AS source_width, height AS source_height"),
-    "tile_windows_sliding": _grid(_sliding("height", 256, 128), _sliding("width", 256, 128), _TILE.format(256)),
+    "tile_windows_sliding": _grid(_sliding("height", 256, 64), _sliding("width", 256, 64), _TILE.format(256)),
     "tile_windows_tail": _grid(_sliding("height", 256, 64, True), _sliding("width", 256, 64, True), _TILE.format(256)),
-    "subimage_grid": _grid(_crops("height", 240, 120, 60), _crops("width", 240, 120, 60), "raster_id, tile_id AS crop_id, col_off, row_off, '_s' || CASE WHEN tile_id < 1000 THEN lpad(tile_id::VARCHAR, 3, '0') ELSE tile_id::VARCHAR END AS suffix", 1),
+    "subimage_grid": _grid(_crops("height", 480, 240, 0), _crops("width", 480, 240, 0), "raster_id, tile_id AS crop_id, col_off, row_off, '_s' || CASE WHEN tile_id < 1000 THEN lpad(tile_id::VARCHAR, 3, '0') ELSE tile_id::VARCHAR END AS suffix", 1),
     "tile_batches": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), "raster_id, (tile_id // 4)::INTEGER AS batch_id, count(*) AS tiles") + " GROUP BY ALL",
     "pad_sizes": _with("scenes", "SELECT raster_id, ((32 - width % 32) % 32)::INTEGER AS pad_w, ((32 - height % 32) % 32)::INTEGER AS pad_h FROM scenes"),
     "training_patches": _grid(_sliding("height", 128, 32), _sliding("width", 128, 32), _TILE.format(128) + ", unnest([false, true]) AS flipped"),
@@ -142,7 +143,7 @@ SQL = {
     "threshold_mask": _with("mask", "SELECT * FROM mask"),
     "dilate_rect": _with("mask step scene", _dilated("mask", _SQUARE)),
     "erode_rect": _with("wide step scene", _eroded("wide", _SQUARE)),
-    "close_open": _with("mask step scene", "#").replace(" #", f", d1 AS ({_dilated('mask', _SQUARE)}), e1 AS ({_eroded('d1', _SQUARE)}), e2 AS ({_eroded('e1', _SQUARE)}) {_dilated('e2', _SQUARE)}"),
+    "close_open": _with("mask step scene", "#").replace(" #", f", d1 AS ({_dilated('mask', _SQUARE5)}), e1 AS ({_eroded('d1', _SQUARE5)}), e2 AS ({_eroded('e1', _SQUARE)}) {_dilated('e2', _SQUARE)}"),
     "dilate_2x2": _with("mask scene", _dilated("mask", "(SELECT x.i AS dr, y.i AS dc FROM range(2) x(i), range(2) y(i))")),
     "dilate_plus": _with("mask plus scene", _dilated("mask", "plus")),
     "erode_plus": _with("wide plus scene", _eroded("wide", "plus")),
@@ -193,3 +194,7 @@ SQL = {
     "checkpoint_keys": "SELECT s_name AS key, s_acctbal FROM supplier",
     "weight_interp": "WITH x AS (SELECT vec_id AS key, label, (unnest(generate_series(1, len(embedding))) - 1)::INTEGER AS i, unnest(embedding)::DOUBLE AS w FROM embeddings) SELECT key, i, round(0.7 * w + 0.3 * avg(w) OVER (PARTITION BY label, i), 6) AS w FROM x",
 }
+
+#: Queries on tables of tiles have the rows of those on pixels.
+_TILES = {"dilate": "dilate_rect", "erode": "erode_rect", "close_open": "close_open", "plus": "dilate_plus", "gaussian": "gaussian_smooth", "sobel": "sobel_gradient", "median": "median_filter", "neighbours": "neighbour_count", "components": "components", "distance": "distance_transform"}
+SQL |= {f"tiles_{k}": SQL[v] for k, v in _TILES.items()}
