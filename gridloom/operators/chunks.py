@@ -85,15 +85,18 @@ def places(scenes: DataFrame, tile: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast((width - 1) div {tile} as int)"))).alias("tc"))
 
 
-def from_pixels(pixels: DataFrame, scenes: DataFrame, value: str | None = None, tile: int = TILE) -> Chunks:
-    """Tiles of pixels (raster_id, r, c): of a mask (value None) or of doubles, not-a-number where there is no pixel."""
+def from_pixels(pixels: DataFrame, scenes: DataFrame, value: str | tuple[str, ...] | None = None, tile: int = TILE) -> Chunks:
+    """Tiles of pixels (raster_id, r, c): of a mask (value None) or of doubles (a column for each band), not-a-number
+    where there is no pixel."""
+    values = (value,) if isinstance(value, str) else value or ()
     kind, absent = ("u1", 0.0) if value is None else ("f8", math.nan)
+    bands = max(1, len(values))
     at = ((F.col("r") % tile) * tile + F.col("c") % tile).cast("int")
-    v = F.lit(1.0) if value is None else F.col(value).cast("double")
+    v = F.array(*(F.col(x).cast("double") for x in values)) if values else F.array(F.lit(1.0))
     rows = pixels.select("raster_id", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"), F.struct(at.alias("at"), v.alias("v")).alias("p"))
     # sizes come by place, so that no raster is brought together
     tiles = rows.groupBy(*PLACE).agg(F.collect_list("p").alias("p")).join(places(scenes, tile), PLACE)
-    form = Form(tile, kind, 1, absent)
+    form = Form(tile, kind, bands, absent)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +104,8 @@ def from_pixels(pixels: DataFrame, scenes: DataFrame, value: str | None = None,
             for i in range(batch.num_rows):
                 p = batch.column("p").slice(i, 1).flatten()
                 place = p.field("at").to_numpy()
-                a = np.full(form.shape(tr[i], tc[i], h[i], w[i]), absent, kind)
-                a[place // tile, place % tile] = p.field("v").to_numpy()
+                a = np.full((bands, *form.shape(tr[i], tc[i], h[i], w[i])), absent, kind)
+                a[:, place // tile, place % tile] = p.field("v").flatten().to_numpy().reshape(-1, bands).T
                 data.append(a.tobytes())
             yield _batch([*(batch.column(n) for n in PLACE), batch.column("height"), batch.column("width")], data)
 
@@ -185,10 +188,10 @@ def _strips(chunks: Chunks, reach: int) -> DataFrame:
     return sent.groupBy(*PLACE).agg(F.first("height").alias("height2"), F.first("width").alias("width2"), F.collect_list(F.struct("dr", "dc", "strip")).alias("strips"))
 
 
-def stencil(chunks: Chunks, reach: int, kernel: Callable[[Halo], np.ndarray], kind: str | None = None, bands: int = 1, more: DataFrame | None = None) -> Chunks:
+def stencil(chunks: Chunks, reach: int, kernel: Callable, kind: str | None = None, bands: int = 1, more: DataFrame | None = None, many: bool = False) -> Chunks:
     """kernel(tile with its halo) for every tile; its result has the tile's size, and as many bands as said.
 
-    more: a table by place whose other columns the kernel gets by name."""
+    more: a table by place whose other columns the kernel gets by name; many: the kernel gets a list of tiles."""
     form = chunks.form
     if not 0 < reach <= form.tile:
         raise ValueError(f"a halo of {reach} pixels needs tiles of as many at least, not {form.tile}")
@@ -201,7 +204,7 @@ def stencil(chunks: Chunks, reach: int, kernel: Callable[[Halo], np.ndarray], ki
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = []
+            data, tiles = [], []
             extra = {n: batch.column(n).to_pylist() for n in names}
             fields = (batch.column(n).to_pylist() for n in (*PLACE, "height", "width", "data", "strips"))
             for i, (_, tr, tc, h, w, core, strips) in enumerate(zip(*fields, strict=True)):
@@ -213,7 +216,12 @@ def stencil(chunks: Chunks, reach: int, kernel: Callable[[Halo], np.ndarray], ki
                     rows, cols = _span(s["dr"], n, reach, h - (tr + 1) * form.tile), _span(s["dc"], m, reach, w - (tc + 1) * form.tile)
                     a[:, rows, cols] = np.frombuffer(s["strip"], form.kind).reshape(form.bands, rows.stop - rows.start, cols.stop - cols.start)
                 halo = Halo(a, reach, tr * form.tile, tc * form.tile, h, w)
-                data.append(np.ascontiguousarray(kernel(halo, **{k: v[i] for k, v in extra.items()}), kind).tobytes())
+                if many:
+                    tiles.append(halo)
+                else:
+                    data.append(np.ascontiguousarray(kernel(halo, **{k: v[i] for k, v in extra.items()}), kind).tobytes())
+            if many:
+                data = [np.ascontiguousarray(y, kind).tobytes() for y in kernel(tiles)]
             yield _batch([batch.column(c) for c in (*PLACE, "height", "width")], data)
 
     return Chunks(_put(own.mapInArrow(run, SCHEMA), False), Form(form.tile, kind, bands, 0.0 if kind == "u1" else math.nan))
