@@ -189,21 +189,22 @@ def network(name: str, **settings) -> Network:
     return NETWORKS.get(name.lower(), u_net)(**settings)
 
 
-def weights_of(table: DataFrame, net: Network) -> Weights:
-    """The weights of a network from rows (key, shape, w), in single precision; an error names what is missing or of another shape."""
+def weights_of(table: DataFrame, net: Network, kind: str = "f4") -> Weights:
+    """The weights of a network from rows (key, shape, w), in single precision unless told otherwise; an error names what is missing or of another shape."""
     wanted = table.filter(F.col("key").isin(sorted(net.shapes))) if len(net.shapes) < 1000 else table
     size = wanted.agg(F.sum(F.size("w"))).first()[0] or 0
     if size > MOST_WEIGHTS:
         raise ValueError(f"{size} weights are more than the {MOST_WEIGHTS} that are sent to tasks")
-    found = {r["key"]: np.array(r["w"], np.float32).reshape(r["shape"]) for r in wanted.collect()}
+    found = {r["key"]: np.array(r["w"], kind).reshape(r["shape"]) for r in wanted.collect()}
     wrong = sorted(k for k, s in net.shapes.items() if k not in found or found[k].shape != s)
     if wrong:
         raise ValueError(f"no weights of the right shape for {', '.join(wrong[:5])}")
     return found
 
 
-def applied(images: Chunks, net: Network, weights: Weights, together: int = TOGETHER) -> Chunks:
-    """The network's result over every raster: tiles of the image's bands, the result's size being ``scale`` times theirs."""
+def applied(images: Chunks, net: Network, weights: Weights, together: int = TOGETHER, kind: str = "f4") -> Chunks:
+    """The network's result over every raster: tiles of the image's bands, the result's size being ``scale`` times theirs;
+    kind: the precision of images and result."""
     shared = images.table.sparkSession.sparkContext.broadcast(weights)
     stride, reach = net.stride, net.reach
     if images.form.tile % stride:
@@ -213,7 +214,7 @@ def applied(images: Chunks, net: Network, weights: Weights, together: int = TOGE
         cut = [[h.values[(slice(None), *h.inside())] for h in tiles[i : i + together]] for i in range(0, len(tiles), together)]
         for i, part in enumerate(cut):
             out: list = [None] * len(part)
-            padded = [np.pad(a, ((0, 0), *((0, -n % stride) for n in a.shape[1:])), mode="reflect").astype(np.float32) for a in part]
+            padded = [np.pad(a, ((0, 0), *((0, -n % stride) for n in a.shape[1:])), mode="reflect").astype(kind) for a in part]
             for shape in {a.shape for a in padded}:
                 at = [k for k, a in enumerate(padded) if a.shape == shape]
                 for k, y in zip(at, net.forward(np.stack([padded[k] for k in at]), shared.value), strict=True):
@@ -224,10 +225,10 @@ def applied(images: Chunks, net: Network, weights: Weights, together: int = TOGE
                 top, left = (reach - rows.start) * net.scale, (reach - cols.start) * net.scale
                 yield y[:, top : top + n * net.scale, left : left + m * net.scale]
 
-    out = chunks.stencil(images, reach, many, "f4", net.bands, many=True)
+    out = chunks.stencil(images, reach, many, kind, net.bands, many=True)
     if net.scale == 1:
         return out
-    form = Form(out.form.tile * net.scale, "f4", net.bands)
+    form = Form(out.form.tile * net.scale, kind, net.bands)
     sized = out.table.select("raster_id", "tr", "tc", (F.col("height") * net.scale).alias("height"), (F.col("width") * net.scale).alias("width"), "data")
     return Chunks(sized, form)
 
