@@ -428,6 +428,76 @@ def frangi(raster: Chunks, sigmas=(1.2, 2.0, 3.2, 4.8), bright: bool = True, dar
     return stencil(raster, reach, strength, more=found.table.select(*PLACE).join(top, "raster_id"))
 
 
+def clahe(raster: Chunks, clip_limit: float = 2.0, grid: int = 8) -> Chunks:
+    """Contrast-limited equalisation of whole numbers 0..255 on a grid of cells over each raster.
+
+    A cell's histogram has 256 bins; counts above the limit are spread over all bins, and a pixel's value is
+    interpolated between the mappings of the four cells around it. Tiles send counts, 256 numbers a cell at
+    most, and get the mappings of the cells that they touch."""
+    form, last = raster.form, grid - 1
+
+    def cells(r0: int, n: int, size: int) -> np.ndarray:
+        return np.minimum((np.arange(r0, r0 + n) / (size / grid)).astype(int), last)
+
+    def levels(a: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(a), 0, 255).astype(int)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raster_id, tr, tc, h, w, data in zip(*(batch.column(n).to_pylist() for n in (*PLACE, "height", "width", "data")), strict=True):
+                a = form.array(data, tr, tc, h, w)[0]
+                gy, gx = cells(tr * form.tile, a.shape[0], h), cells(tc * form.tile, a.shape[1], w)
+                known = ~np.isnan(a)
+                key, n = np.unique(((gy[:, None] * grid + gx) * 256 + levels(np.where(known, a, 0)))[known], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), raster_id)), pa.array((key // 256 // grid).astype(np.int32)), pa.array((key // 256 % grid).astype(np.int32)), pa.array((key % 256).astype(np.int32)), pa.array(n)], ["raster_id", "gy", "gx", "bin", "n"])
+
+    def mapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            luts = []
+            for bins in batch.column("bins").to_pylist():
+                n = np.zeros(256)
+                n[[b["bin"] for b in bins]] = [b["n"] for b in bins]
+                area = n.sum()
+                limit = max(math.floor(clip_limit * area / 256), 1)
+                n = np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256
+                luts.append((np.cumsum(n) * 255 / area).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("raster_id", "gy", "gx")), pa.array(luts, pa.binary())], ["raster_id", "gy", "gx", "lut"])
+
+    counts = raster.table.mapInArrow(counted, "raster_id long, gy int, gx int, bin int, n long").groupBy("raster_id", "gy", "gx", "bin").agg(F.sum("n").alias("n"))
+    luts = counts.groupBy("raster_id", "gy", "gx").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).mapInArrow(mapping, "raster_id long, gy int, gx int, lut binary")
+
+    def touched(at: str, size: str):
+        """Cells whose middles are next to the first and the last pixel of the tile, and those between."""
+        first, end = F.col(at) * form.tile, F.least((F.col(at) + 1) * form.tile, F.col(size)) - 1
+        low, high = (F.floor((x + 0.5) * grid / F.col(size) - 0.5) for x in (first, end))
+        return F.explode(F.sequence(F.least(F.greatest(low, F.lit(0)), F.lit(last)).cast("int"), F.least(F.greatest(high + 1, F.lit(0)), F.lit(last)).cast("int")))
+
+    wanted = raster.table.select(*PLACE, "height", "width").withColumn("gy", touched("tr", "height")).withColumn("gx", touched("tc", "width"))
+    maps = wanted.join(luts, ["raster_id", "gy", "gx"]).groupBy(*PLACE).agg(F.collect_list(F.struct("gy", "gx", "lut")).alias("maps"))
+    own = raster.table.join(maps, PLACE)
+
+    def near(r0: int, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = (np.arange(r0, r0 + n) + 0.5) / (size / grid) - 0.5
+        low = np.floor(f)
+        return np.clip(low, 0, last).astype(int), np.clip(low + 1, 0, last).astype(int), f - low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for tr, tc, h, w, raw, maps_ in zip(*(batch.column(n).to_pylist() for n in ("tr", "tc", "height", "width", "data", "maps")), strict=True):
+                a = form.array(raw, tr, tc, h, w)[0]
+                table = np.zeros((grid, grid, 256))
+                for m in maps_:
+                    table[m["gy"], m["gx"]] = np.frombuffer(m["lut"], "f8")
+                (y0, y1, fy), (x0, x1, fx) = near(tr * form.tile, a.shape[0], h), near(tc * form.tile, a.shape[1], w)
+                fy, level = fy[:, None], levels(np.nan_to_num(a))
+                value = sum(table[y[:, None], x, level] * wy * wx for y, wy in ((y0, 1 - fy), (y1, fy)) for x, wx in ((x0, 1 - fx), (x1, fx)))
+                data.append(np.where(np.isnan(a), np.nan, np.floor(value + 0.5)).tobytes())
+            yield _batch([batch.column(n) for n in (*PLACE, "height", "width")], data)
+
+    return Chunks(_put(own.mapInArrow(run, SCHEMA), False), Form(form.tile))
+
+
 # --- what needs the whole raster
 
 

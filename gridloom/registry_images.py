@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import registry as base
 from gridloom.functions import color, scene
 from gridloom.operators import chunks, components, distance, mask, polygon, segments, skeleton, stencil, stretch
-from gridloom.plans import enhance, evidence, items, lists, network
+from gridloom.plans import enhance, evidence, heatmap, items, lists, network
 from gridloom.sources import files, virtual
 from gridloom.sql import _PARTS, _SQUARE, _dilated, _with
 
@@ -113,6 +113,15 @@ def _by_network(spark, sf, net: network.Network, names: tuple[str, ...]) -> Data
     return base._rounded(chunks.to_pixels(network.applied(_band_tiles(spark, sf), net, weights, kind="f8"), names), *names)
 
 
+def _heatmap(spark, sf) -> dict[str, DataFrame]:
+    return heatmap.exact_heatmap(evidence.bytes_of(_bands(spark, sf)), base._scene(spark, sf), tile=base.SIDE)
+
+
+def _heatmap_roads(spark, sf) -> DataFrame:
+    found = _heatmap(spark, sf)
+    return found["main"].withColumn("tier", F.lit("main")).unionByName(found["secondary"].withColumn("tier", F.lit("secondary")))
+
+
 def _corridors(spark, sf) -> DataFrame:
     """Numbers of polygons and areas of the components of the mask."""
     labels = base._labels(spark, sf)
@@ -161,6 +170,9 @@ QUERIES = {
     "polygon_measures": lambda s, d: polygon.measures(polygon.rings(base._labels(s, d))),
     "feature_union": _features,
     "corridor_polygons": _corridors,
+    "exact_heatmap": lambda s, d: base._rounded(_heatmap(s, d)["heat"], "v"),
+    "heatmap_roads": _heatmap_roads,
+    "tiles_equalised": lambda s, d: chunks.to_pixels(chunks.clahe(chunks.from_pixels(base._unit(s, d).withColumn("v", F.col("v") * 255), base._scene(s, d), "v", base.SIDE))),
     "convolution": lambda s, d: _by_network(s, d, network.Network(_one_layer, {"layer.weight": (1, 3, 3, 3), "layer.bias": (1,)}, 1), ("v",)),
     "network_probability": lambda s, d: _by_network(s, d, network.fast_road_net((8, 12)), ("p",)),
     "unet_probability": lambda s, d: _by_network(s, d, network.u_net((4, 6, 8)), ("p",)),

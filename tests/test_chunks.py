@@ -135,3 +135,40 @@ def test_empty(spark, world):
     none = chunks.from_pixels(world[1].limit(0), world[2], tile=TILE)
     assert chunks.to_pixels(chunks.close_open(none), ()).count() == 0
     assert chunks.to_pixels(chunks.components(none), ("label",)).count() == 0 and chunks.to_pixels(chunks.distance(none), ("dist",)).count() == 0
+
+
+def equalised(a, clip, grid):
+    """The definition, pixel by pixel."""
+    h, w = a.shape
+    cell = lambda i, n: min(int(i / (n / grid)), grid - 1)
+    luts = {}
+    for gy in range(grid):
+        for gx in range(grid):
+            own = [int(a[r, c]) for r in range(h) for c in range(w) if cell(r, h) == gy and cell(c, w) == gx]
+            n = np.bincount(own, minlength=256).astype(float)
+            limit = max(math.floor(clip * len(own) / 256), 1)
+            over = np.maximum(n - limit, 0).sum()
+            luts[gy, gx] = np.cumsum(np.minimum(n, limit) + over / 256) * 255 / len(own)
+    out = np.zeros(a.shape)
+    for r in range(h):
+        for c in range(w):
+            fy, fx = (r + 0.5) / (h / grid) - 0.5, (c + 0.5) / (w / grid) - 0.5
+            y, x = math.floor(fy), math.floor(fx)
+            hold = lambda k: min(max(k, 0), grid - 1)
+            v = sum(luts[hold(y + i), hold(x + j)][int(a[r, c])] * (fy - y if i else 1 - fy + y) * (fx - x if j else 1 - fx + x) for i in (0, 1) for j in (0, 1))
+            out[r, c] = math.floor(v + 0.5)
+    return out
+
+
+def test_equalisation(spark, world):
+    pixels = world[0].withColumn("v", F.floor(F.pmod(F.col("v") * 90, F.lit(256.0))).cast("double"))
+    for grid, clip in ((4, 2.0), (3, 3.5)):
+        tiled = {r[:3]: r[3] for r in rows(chunks.to_pixels(chunks.clahe(chunks.from_pixels(pixels, world[2], "v", TILE), clip, grid)), "v")}
+        plain = {r[:3]: r[3] for r in rows(stencil.clahe(pixels, world[2], clip, grid), "v")}
+        values = {r[:3]: r[3] for r in rows(pixels, "v")}
+        for k, (h, w) in SIZES.items():
+            want = equalised(np.array([[values[k, r, c] for c in range(w)] for r in range(h)]), clip, grid)
+            for r in range(h):
+                for c in range(w):
+                    assert abs(tiled[k, r, c] - want[r, c]) <= 1 and abs(plain[k, r, c] - want[r, c]) <= 1
+            assert sum(tiled[k, r, c] != want[r, c] for r in range(h) for c in range(w)) <= 0.01 * h * w
