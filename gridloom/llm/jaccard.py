@@ -63,6 +63,8 @@ COLUMNS, SOME_ROWS = 2048, 256
 #: Bits of the table that tells which texts a comparison needs.
 WANTED_BITS = 23
 CACHE_WORDS = 400_000
+#: Pairs of blocks' members that are formed at once.
+PAIRS_AT_ONCE = 1 << 17
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -410,11 +412,14 @@ def _walk(percent: int):
             x, y = x[left], y[left]
             # blocks to nodes
             times = size[x] * size[y]
-            at = np.repeat(np.arange(len(x)), times)
-            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            a = r["node"][start[x][at] + k // size[y][at]]
-            c = r["node"][start[y][at] + k % size[y][at]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+            ends = np.cumsum(times)
+            for low in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+                place = np.arange(low, min(low + PAIRS_AT_ONCE, int(ends[-1])))
+                at = np.searchsorted(ends, place, side="right")
+                k = place - (ends[at] - times[at])
+                a = r["node"][start[x][at] + k // size[y][at]]
+                c = r["node"][start[y][at] + k % size[y][at]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None

@@ -112,7 +112,9 @@ def _settle_group(seed: int, level: int, last: bool):
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, group_rows: int = GROUP_ROWS, **shares) -> DataFrame:
     """doc_id, source, size, digest, source_size, target and copies (how often the mix takes the document)."""
     equal = docs.select(*_keys(id_col, text_col, source_col)).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
-    sized = written(equal.select(*_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("number")), "sizes")
+    # equal rows are numbered in lots, so that no array has more than CHUNK numbers
+    lots = equal.select(*_KEY, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("lot")).withColumn("lot", F.col("lot") * CHUNK)
+    sized = written(lots.select(*_KEY, F.explode(F.sequence("lot", F.least(F.col("lot") + CHUNK, F.col("n")) - 1)).alias("number")), "sizes")
     targets = source_targets(sized.select("source", "size"), **shares)
     n_docs = targets.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, math.ceil(n_docs / group_rows))
