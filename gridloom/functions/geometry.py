@@ -1,11 +1,15 @@
 """Geometry as arrays of points: transforms, lengths, validity, map projections.
 
 Map projections are the Transverse Mercator series of the WGS 84 ellipsoid for UTM zones (EPSG 326xx
-and 327xx); other systems are rejected.
+and 327xx), and those of SYSTEMS: web Mercator and conics. Others are rejected. Datums are taken as one:
+those of the systems here differ from WGS 84 by less than a metre or two, and are not shifted.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,12 +87,120 @@ def from_utm(x: Column, y: Column, srid: Column) -> tuple[Column, Column]:
     return F.degrees(lon) + meridian, F.degrees(lat)
 
 
+@dataclasses.dataclass(frozen=True)
+class Projection:
+    """A map projection: ``mercator`` on the sphere, ``lambert`` (conformal, two parallels) or ``albers`` (equal area);
+    angles in degrees, lengths in the unit of the semi-major axis."""
+
+    kind: str
+    lat0: float = 0.0
+    lon0: float = 0.0
+    lat1: float = 0.0
+    lat2: float = 0.0
+    x0: float = 0.0
+    y0: float = 0.0
+    axis: float = SEMI_MAJOR
+    flattening: float = FLATTENING
+
+    @property
+    def e(self) -> float:
+        return math.sqrt(self.flattening * (2 - self.flattening))
+
+
+#: Systems by number besides UTM: world Mercator of web maps, and conics for France, the states of the USA and Europe (fixed values).
+SYSTEMS = {
+    3857: Projection("mercator"),
+    2154: Projection("lambert", 46.5, 3.0, 49.0, 44.0, 700000.0, 6600000.0, 6378137.0, 1 / 298.257222101),
+    5070: Projection("albers", 23.0, -96.0, 29.5, 45.5, 0.0, 0.0, 6378137.0, 1 / 298.257222101),
+    3034: Projection("lambert", 52.0, 10.0, 35.0, 65.0, 4000000.0, 2800000.0, 6378137.0, 1 / 298.257222101),
+}
+
+
+def _conic(p: Projection) -> tuple[float, float, float]:
+    """Cone constant, scale and radius at the origin."""
+    e = p.e
+    rad = {k: math.radians(getattr(p, k)) for k in ("lat0", "lat1", "lat2")}
+
+    def m(x: float) -> float:
+        return math.cos(x) / math.sqrt(1 - (e * math.sin(x)) ** 2)
+
+    if p.kind == "lambert":
+        t = {k: math.tan(math.pi / 4 - x / 2) / ((1 - e * math.sin(x)) / (1 + e * math.sin(x))) ** (e / 2) for k, x in rad.items()}
+        n = (math.log(m(rad["lat1"])) - math.log(m(rad["lat2"]))) / (math.log(t["lat1"]) - math.log(t["lat2"])) if p.lat1 != p.lat2 else math.sin(rad["lat1"])
+        f = m(rad["lat1"]) / (n * t["lat1"] ** n)
+        return n, f, p.axis * f * t["lat0"] ** n
+    q = {k: (1 - e * e) * (math.sin(x) / (1 - (e * math.sin(x)) ** 2) - math.log((1 - e * math.sin(x)) / (1 + e * math.sin(x))) / (2 * e)) for k, x in rad.items()}
+    n = (m(rad["lat1"]) ** 2 - m(rad["lat2"]) ** 2) / (q["lat2"] - q["lat1"]) if p.lat1 != p.lat2 else math.sin(rad["lat1"])
+    c = m(rad["lat1"]) ** 2 + n * q["lat1"]
+    return n, c, p.axis * math.sqrt(c - n * q["lat0"]) / n
+
+
+def projected(lon: Column, lat: Column, p: Projection) -> tuple[Column, Column]:
+    """Easting and northing of geographic positions."""
+    phi, e = F.radians(lat), p.e
+    if p.kind == "mercator":
+        return F.radians(lon - p.lon0) * p.axis + p.x0, F.log(F.tan(math.pi / 4 + phi / 2)) * p.axis + p.y0
+    n, c, rho0 = _conic(p)
+    s = e * F.sin(phi)
+    if p.kind == "lambert":
+        t = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
+        rho = p.axis * c * F.pow(t, F.lit(n))
+    else:
+        q = (1 - e * e) * (F.sin(phi) / (1 - s * s) - F.log((1 - s) / (1 + s)) / (2 * e))
+        rho = p.axis * F.sqrt(c - n * q) / n
+    turn = n * F.radians(lon - p.lon0)
+    return rho * F.sin(turn) + p.x0, rho0 - rho * F.cos(turn) + p.y0
+
+
+def unprojected(x: Column, y: Column, p: Projection) -> tuple[Column, Column]:
+    """Longitude and latitude of projected positions; latitudes of conics by the usual series, exact to far below a millimetre."""
+    if p.kind == "mercator":
+        return F.degrees((x - p.x0) / p.axis) + p.lon0, F.degrees(2 * F.atan(F.exp((y - p.y0) / p.axis)) - math.pi / 2)
+    n, c, rho0 = _conic(p)
+    dx, dy, sign = x - p.x0, rho0 - (y - p.y0), 1.0 if n > 0 else -1.0
+    rho, turn = F.sqrt(dx * dx + dy * dy) * sign, F.atan2(dx * sign, dy * sign)
+    e2 = p.e**2
+    if p.kind == "lambert":
+        # conformal latitude, then geographic
+        chi = math.pi / 2 - 2 * F.atan(F.pow(rho / (p.axis * c), F.lit(1 / n)))
+        terms = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280)
+    else:
+        pole = 1 - (1 - e2) / (2 * p.e) * math.log((1 - p.e) / (1 + p.e))
+        chi = F.asin((c - (rho * n / p.axis) ** 2) / n / pole)
+        terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+    lat = chi
+    for k, w in enumerate(terms, 1):
+        lat = lat + w * F.sin(2 * k * chi)
+    return F.degrees(turn / n) + p.lon0, F.degrees(lat)
+
+
+def _by_system(srid: Column, one, other: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The pair of the systems of SYSTEMS where srid is one of them, else the other."""
+    out = list(other)
+    for code, p in SYSTEMS.items():
+        pair = one(p)
+        out = [F.when(srid == code, pair[k]).otherwise(out[k]) for k in (0, 1)]
+    return out[0], out[1]
+
+
+def geographic(x: Column, y: Column, srid: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of positions of any supported system; those in degrees stay."""
+    lon, lat = _by_system(srid, lambda p: unprojected(x, y, p), from_utm(x, y, srid))
+    return F.when(srid == 4326, x).otherwise(lon), F.when(srid == 4326, y).otherwise(lat)
+
+
+def placed(lon: Column, lat: Column, srid: Column) -> tuple[Column, Column]:
+    """Positions in any supported system of longitudes and latitudes."""
+    x, y = _by_system(srid, lambda p: projected(lon, lat, p), to_utm(lon, lat, srid))
+    return F.when(srid == 4326, lon).otherwise(x), F.when(srid == 4326, lat).otherwise(y)
+
+
 def to_wgs84(geom: Column, srid: Column) -> Column:
     """Points in degrees; geographic ones stay as they are."""
 
     def one(p: Column) -> Column:
-        lon, lat = from_utm(p["x"], p["y"], srid)
-        return F.when(srid == 4326, p).otherwise(F.struct(lon.alias("x"), lat.alias("y")))
+        lon, lat = geographic(p["x"], p["y"], srid)
+        return F.struct(lon.alias("x"), lat.alias("y"))
 
     return F.transform(geom, one)
 
@@ -97,9 +209,7 @@ def reproject(geom: Column, source: Column, target: Column) -> Column:
     """Points from one supported system to another."""
 
     def one(p: Column) -> Column:
-        lon, lat = from_utm(p["x"], p["y"], source)
-        lon, lat = F.when(source == 4326, p["x"]).otherwise(lon), F.when(source == 4326, p["y"]).otherwise(lat)
-        x, y = to_utm(lon, lat, target)
-        return F.when(target == 4326, F.struct(lon.alias("x"), lat.alias("y"))).otherwise(F.struct(x.alias("x"), y.alias("y")))
+        x, y = placed(*geographic(p["x"], p["y"], source), target)
+        return F.struct(x.alias("x"), y.alias("y"))
 
     return F.when(source == target, geom).otherwise(F.transform(geom, one))
