@@ -58,16 +58,23 @@ def surface(bands: DataFrame, prediction: DataFrame, scenes: DataFrame, tile: in
     return top_scaled(written(smooth, "surface"), TOP)
 
 
-def exact_heatmap(bands: DataFrame, scenes: DataFrame, predict: Predict = evidence.probability, main: float = 0.50, all_: float = 0.20, smooth: float = 0.5, area: int = 20, tile: int = chunks.TILE) -> dict[str, DataFrame]:
-    """heat: the surface; main and secondary: centre lines at the high threshold, and those at the low one that are not
-    of them; overlay: both, two pixels wide.
-
-    Centre lines come from the prediction itself, not from the surface, and without closing, so that dense blocks do
-    not fill up."""
+def predicted(bands: DataFrame, scenes: DataFrame, predict: Predict = evidence.probability, tile: int = chunks.TILE) -> tuple[DataFrame, DataFrame]:
+    """Bands of clear contrast, and the prediction from them."""
     clear = written(contrast(bands, scenes, tile), "contrast")
-    prediction = written(predict(clear, scenes), "prediction")
+    return clear, written(predict(clear, scenes), "prediction")
+
+
+def roads(prediction: DataFrame, scenes: DataFrame, main: float = 0.50, all_: float = 0.20, smooth: float = 0.5, area: int = 20, tile: int = chunks.TILE) -> dict[str, DataFrame]:
+    """main and secondary: centre lines at the high threshold, and those at the low one that are not of them; overlay: both,
+    two pixels wide. They come from the prediction itself, and without closing, so that dense blocks do not fill up."""
     soft = chunks.gaussian(chunks.from_pixels(prediction, scenes, "p", tile), smooth, mirror_edge=True)
     prob = written(chunks.to_pixels(soft).withColumnRenamed("v", "p"), "smooth")
     bright, dim = (written(skeleton.centerlines(prob, t, area), "lines") for t in (main, all_))
     secondary = mask.subtract(dim, bright)
-    return {"heat": surface(clear, prediction, scenes, tile), "main": bright, "secondary": secondary, "overlay": mask.union(mask.dilate_down_right(bright, scenes), mask.dilate_down_right(secondary, scenes))}
+    return {"main": bright, "secondary": secondary, "overlay": mask.union(mask.dilate_down_right(bright, scenes), mask.dilate_down_right(secondary, scenes))}
+
+
+def exact_heatmap(bands: DataFrame, scenes: DataFrame, predict: Predict = evidence.probability, tile: int = chunks.TILE, **limits) -> dict[str, DataFrame]:
+    """heat: the surface; and the :func:`roads` of the prediction."""
+    clear, prediction = predicted(bands, scenes, predict, tile)
+    return {"heat": surface(clear, prediction, scenes, tile), **roads(prediction, scenes, tile=tile, **limits)}

@@ -113,12 +113,16 @@ def _by_network(spark, sf, net: network.Network, names: tuple[str, ...]) -> Data
     return base._rounded(chunks.to_pixels(network.applied(_band_tiles(spark, sf), net, weights, kind="f8"), names), *names)
 
 
-def _heatmap(spark, sf) -> dict[str, DataFrame]:
-    return heatmap.exact_heatmap(evidence.bytes_of(_bands(spark, sf)), base._scene(spark, sf), tile=base.SIDE)
+def _predicted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return heatmap.predicted(evidence.bytes_of(_bands(spark, sf)), base._scene(spark, sf), tile=base.SIDE)
+
+
+def _heatmap(spark, sf) -> DataFrame:
+    return base._rounded(heatmap.surface(*_predicted(spark, sf), base._scene(spark, sf), base.SIDE), "v")
 
 
 def _heatmap_roads(spark, sf) -> DataFrame:
-    found = _heatmap(spark, sf)
+    found = heatmap.roads(_predicted(spark, sf)[1], base._scene(spark, sf), tile=base.SIDE)
     return found["main"].withColumn("tier", F.lit("main")).unionByName(found["secondary"].withColumn("tier", F.lit("secondary")))
 
 
@@ -170,7 +174,7 @@ QUERIES = {
     "polygon_measures": lambda s, d: polygon.measures(polygon.rings(base._labels(s, d))),
     "feature_union": _features,
     "corridor_polygons": _corridors,
-    "exact_heatmap": lambda s, d: base._rounded(_heatmap(s, d)["heat"], "v"),
+    "exact_heatmap": _heatmap,
     "heatmap_roads": _heatmap_roads,
     "tiles_equalised": lambda s, d: chunks.to_pixels(chunks.clahe(chunks.from_pixels(base._unit(s, d).withColumn("v", F.col("v") * 255), base._scene(s, d), "v", base.SIDE))),
     "convolution": lambda s, d: _by_network(s, d, network.Network(_one_layer, {"layer.weight": (1, 3, 3, 3), "layer.bias": (1,)}, 1), ("v",)),
