@@ -114,7 +114,7 @@ def _contexts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, frequent = shared.value
-        seen: Counter = Counter()
+        seen = np.zeros((len(terms), 2 * len(frequent)), np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found = (text or "").lower().encode().translate(_LETTERS).split()
@@ -124,8 +124,8 @@ def _contexts(shared):
                         for side, at in ((0, i - 1), (1, i + 1)):
                             if 0 <= at < len(found) and (k := frequent.get(found[at])) is not None:
                                 seen[t, 2 * k + side] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "place", "n"])
+        t, k = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(seen[t, k])], ["term", "place", "n"])
 
     return run
 
