@@ -19,12 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to Python in one Arrow batch; documents are a few KB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
 
+#: Bytes at which a batch ends before it has as many rows: long texts then travel a few at a time.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, so that long texts cannot fill a Python worker."""
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small, so that long texts cannot fill a Python worker or the buffers of an executor."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
+    now = spark.conf.get(_BYTES).rstrip("bB")
+    if now.isdigit() and not 0 < int(now) <= size:  # with another unit it was set on purpose
+        spark.conf.set(_BYTES, str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
