@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import registry as base
 from gridloom.functions import color, scene
 from gridloom.operators import chunks, components, distance, mask, polygon, segments, skeleton, stencil, stretch
-from gridloom.plans import enhance, evidence, heatmap, items, lists, network
+from gridloom.plans import degrade, enhance, evidence, heatmap, items, lists, network
 from gridloom.sources import files, virtual
 from gridloom.sql import _PARTS, _SQUARE, _dilated, _with
 
@@ -78,6 +78,18 @@ def _turned(spark, sf) -> DataFrame:
     return base._rounded(items.turned(patches, 64, F.lit(True), F.lit(1)), "v")
 
 
+def _degraded(spark, sf) -> DataFrame:
+    """Every 96 vectors are an image of 64 columns, three vectors a row: one for each colour, gray where there is none."""
+    v = virtual.table(spark, sf, "embeddings").filter("vec_id is not null and embedding is not null").select("vec_id", F.posexplode("embedding").alias("c", "x"))
+    place = F.pmod(F.col("vec_id"), F.lit(96))
+    cells = v.select(F.floor(F.col("vec_id") / 96).alias("raster_id"), F.floor(place / 3).cast("int").alias("r"), "c", (place % 3).alias("ch"), F.least(F.greatest(F.lit(0.5) + F.col("x").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("x"))
+    colours = cells.groupBy("raster_id", "r", "c").agg(F.avg("x").alias("gray"), *(F.max(F.when(F.col("ch") == k, F.col("x"))).alias(f"x{k}") for k in range(3)))
+    pixels = colours.select("raster_id", F.struct("r", "c", F.array(*(F.coalesce(f"x{k}", "gray") for k in range(3))).alias("x")).alias("p"))
+    images = pixels.groupBy("raster_id").agg(F.array_sort(F.collect_list("p")).alias("p"), F.countDistinct("p.r").alias("height"), F.countDistinct("p.c").alias("width"))
+    pairs = degrade.training_pairs(images.select("raster_id", "height", "width", F.flatten("p.x").alias("pixels")))
+    return pairs.select("raster_id", "height", "width", "lq_height", "lq_width", F.transform("lq", lambda x: F.round(x, 6)).alias("lq"))
+
+
 def _two_lists(spark, sf) -> DataFrame:
     more = virtual.table(spark, sf, "labels").join(virtual.image_paths(spark, sf), "doc_id").filter("path is not null")
     return files.union_of_lists(base._paths(spark, sf), more.select(F.when(F.col("quality") == 1, F.col("path")).otherwise(F.concat(F.lit("more/"), "path")).alias("path")))
@@ -199,6 +211,7 @@ QUERIES = {
     "paired_crops": lambda s, d: items.paired_plan(_images(s, d), 128, 4),
     "channel_normalise": lambda s, d: base._rounded(items.normalised(_channels(s, d).filter("ch < 3")), "v"),
     "turned_patches": _turned,
+    "degraded_images": _degraded,
     "pair_pool": lambda s, d: items.pool_plan(virtual.table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_partkey").alias("raster_id")), 180).groupBy(F.floor(F.col("idx") / 180).alias("block")).agg(F.sum("raster_id").alias("entered"), F.sum("out").alias("left")),
     "blur_kernels": lambda s, d: items.kernels(virtual.table(s, d, "part").select(F.col("p_partkey").alias("raster_id"))).select("item", "stage", F.round(F.aggregate("kernel", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("kernel").alias("places")),
     "checkpoint_unwrap": lambda s, d: lists.checkpoint_entries(_keys(s, d)),
