@@ -115,6 +115,14 @@ def _bridged(spark, sf) -> DataFrame:
     return skeleton.bridged(skeleton.skeleton(mask.threshold(p, 0.6)), p, gap=28.0)
 
 
+def _sub_images(spark, sf) -> DataFrame:
+    """Sub-images of 240 pixels, of which every scene has some, and of 480 pixels, the reference's default."""
+    scenes = virtual.scene_catalog(spark, sf)
+    sizes = ((240, 120, 60), (480, 240, 0))
+    small, large = (tiling.crops(scenes, *size).withColumn("crop_size", F.lit(size[0])) for size in sizes)
+    return small.unionByName(large)
+
+
 #: Side of the tiles into which the raster of these queries, 64 columns wide, is cut.
 SIDE = 32
 
@@ -146,7 +154,7 @@ QUERIES: dict[str, Query] = {
     "tile_windows": lambda s, d: tiling.windows(virtual.scene_catalog(s, d)),
     "tile_windows_sliding": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 64),
     "tile_windows_tail": lambda s, d: tiling.sliding(virtual.scene_catalog(s, d), 256, 64, "append"),
-    "subimage_grid": lambda s, d: tiling.crops(virtual.scene_catalog(s, d), 480, 240, 0),
+    "subimage_grid": _sub_images,
     "tile_batches": lambda s, d: tiling.batches(tiling.windows(virtual.scene_catalog(s, d))).groupBy("raster_id", "batch_id").agg(F.count(F.lit(1)).alias("tiles")),
     "pad_sizes": lambda s, d: tiling.pad_sizes(virtual.scene_catalog(s, d), 32),
     "training_patches": lambda s, d: tiling.training_patches(virtual.scene_catalog(s, d), 128, 32),

@@ -94,6 +94,11 @@ def _crops(n: str, crop: int, step: int, thresh: int) -> str:
     return f"CASE WHEN {n} < {crop} THEN [] WHEN {n} - (list_last({starts}) + {crop}) > {thresh} THEN list_append({starts}, ({n} - {crop})::BIGINT) ELSE {starts} END"
 
 
+def _sub_images(sizes: tuple[int, int, int]) -> str:
+    suffix = "'_s' || CASE WHEN tile_id < 1000 THEN lpad(tile_id::VARCHAR, 3, '0') ELSE tile_id::VARCHAR END AS suffix"
+    return _grid(_crops("height", *sizes), _crops("width", *sizes), f"raster_id, tile_id AS crop_id, col_off, row_off, {suffix}, {sizes[0]} AS crop_size", 1)
+
+
 _TILE = "raster_id, tile_id, col_off, row_off, least({0}, width)::INTEGER AS tile_width, least({0}, height)::INTEGER AS tile_height"
 _NEAR = "SELECT raster_id, r, c, {} FROM (SELECT b.raster_id, b.r, b.c, a.v, b.dr, b.dc FROM (SELECT e.raster_id, e.r, e.c, dr, dc, least(greatest(r + dr, 0), h - 1) AS r2, least(greatest(c + dc, 0), w - 1) AS c2 FROM emb e, scene, (SELECT x.d AS dr, y.d AS dc FROM step x, step y) o) b JOIN (SELECT r, c, p AS v FROM prob) a ON a.r = b.r2 AND a.c = b.c2) GROUP BY raster_id, r, c"
 _GAUSS = "(CASE {0} WHEN 0 THEN 1 ELSE exp(-1 / 1.28) END / (1 + 2 * exp(-1 / 1.28)))"
@@ -125,7 +130,7 @@ SQL = {
     "tile_windows": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), _TILE.format(512) + ", width AS source_width, height AS source_height"),
     "tile_windows_sliding": _grid(_sliding("height", 256, 64), _sliding("width", 256, 64), _TILE.format(256)),
     "tile_windows_tail": _grid(_sliding("height", 256, 64, True), _sliding("width", 256, 64, True), _TILE.format(256)),
-    "subimage_grid": _grid(_crops("height", 480, 240, 0), _crops("width", 480, 240, 0), "raster_id, tile_id AS crop_id, col_off, row_off, '_s' || CASE WHEN tile_id < 1000 THEN lpad(tile_id::VARCHAR, 3, '0') ELSE tile_id::VARCHAR END AS suffix", 1),
+    "subimage_grid": _sub_images((240, 120, 60)) + " UNION ALL " + f"SELECT * FROM ({_sub_images((480, 240, 0))})",
     "tile_batches": _grid(_clamped("height", 512, 384), _clamped("width", 512, 384), "raster_id, (tile_id // 4)::INTEGER AS batch_id, count(*) AS tiles") + " GROUP BY ALL",
     "pad_sizes": _with("scenes", "SELECT raster_id, ((32 - width % 32) % 32)::INTEGER AS pad_w, ((32 - height % 32) % 32)::INTEGER AS pad_h FROM scenes"),
     "training_patches": _grid(_sliding("height", 128, 32), _sliding("width", 128, 32), _TILE.format(128) + ", unnest([false, true]) AS flipped"),
