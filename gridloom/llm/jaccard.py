@@ -59,10 +59,10 @@ CLOSE = 50
 #: Rows from which a list counts as long: a set in one always gets a leader.
 LONG = 16
 #: Columns of the matrices that are multiplied at once, and rows of links worked out at once.
-COLUMNS, SOME_ROWS = 2048, 256
+COLUMNS, SOME_ROWS = 1024, 256
 #: Bits of the table that tells which texts a comparison needs.
 WANTED_BITS = 23
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 16
 #: Pairs of blocks' members that are formed at once.
 PAIRS_AT_ONCE = 1 << 17
 
@@ -73,9 +73,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 
@@ -186,11 +186,18 @@ def _prefixes(shared, k: int, percent: int):
     return run
 
 
+def _bit(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of a hash in the packed table of wanted texts."""
+    at = hashes & ((1 << WANTED_BITS) - 1)
+    return at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+
+
 def _wanted_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << WANTED_BITS, dtype=bool)
+    bits = np.zeros((1 << WANTED_BITS) // 8, dtype=np.uint8)
     for batch in batches:
-        bits[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] = True
-    packed = np.packbits(bits).reshape(SLICES, -1)
+        place, bit = _bit(batch.column(0).to_numpy())
+        np.bitwise_or.at(bits, place, bit)
+    packed = bits.reshape(SLICES, -1)
     full = [i for i in range(SLICES) if packed[i].any()]
     own = [next(row_ids()) >> 33] * len(full)
     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(full, pa.int32()), pa.array([packed[i].tobytes() for i in full], pa.binary())], ["task", "slice", "value"])
@@ -201,9 +208,10 @@ def _picked(shared):
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, pack = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), zstandard.ZstdCompressor(3)
+        bits, pack = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(3)
         for batch in batches:
-            hit = np.flatnonzero(bits[batch.column(2).to_numpy() & (len(bits) - 1)])
+            place, bit = _bit(batch.column(2).to_numpy())
+            hit = np.flatnonzero(bits[place] & bit)
             texts = batch.column(1).take(pa.array(hit)).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([pack.compress((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "packed"])
 
@@ -288,10 +296,10 @@ def linked_rows(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray, percent:
     return 100 * overlap >= percent * (n_a + n_b - overlap)
 
 
-def _matrix_overlap(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of small sets; elements of one set only are left out."""
+def _add_overlaps(out: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds the sizes of the intersections of all pairs of small sets, in place and a strip of rows at a
+    time; elements of one set only are left out."""
     m = len(sets)
-    out = np.zeros((m, m), dtype=np.float32)
     owner = np.repeat(np.arange(m), [len(x) for x in sets])
     elements, at, n = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
     column = np.cumsum(n > 1) - 1
@@ -301,8 +309,8 @@ def _matrix_overlap(sets: list[np.ndarray]) -> np.ndarray:
         some = (at >= low) & (at < low + COLUMNS)
         block = np.zeros((m, COLUMNS), dtype=np.float32)
         block[owner[some], at[some] - low] = 1
-        out += block @ block.T
-    return out
+        for at_row in range(0, m, SOME_ROWS):
+            out[at_row : at_row + SOME_ROWS] += block[at_row : at_row + SOME_ROWS] @ block.T
 
 
 def forest(nodes: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
@@ -333,10 +341,11 @@ def _derive(percent: int):
         lacking = np.array([len(g) for g in gone])
         # one matrix, changed in place: single precision holds these whole numbers exactly up to 2^24
         kind = np.float32 if rows[0][2] + int(n.max()) < 1 << 23 else np.float64
-        overlap = _matrix_overlap(gone).astype(kind, copy=False)
+        overlap = np.zeros((len(n), len(n)), dtype=kind)
+        _add_overlaps(overlap, gone)
         overlap -= lacking[:, None].astype(kind)
         overlap -= lacking[None, :].astype(kind)
-        overlap += _matrix_overlap(new)
+        _add_overlaps(overlap, new)
         overlap += kind(rows[0][2])
         links = np.empty(overlap.shape, dtype=bool)
         for at in range(0, len(n), SOME_ROWS):

@@ -44,7 +44,7 @@ LEAST_G, LEAST_DOCS = 12.0, 3
 TERMS, CONTEXTS, NEUTRAL_G, TERM_BYTES, LIKE = 512, 256, 3.84, 3, 0.5
 EXCHANGES = 4
 EPOCHS, RATE, DECAY, COUNTERFACTUAL = 12, 0.5, 1e-4, 1.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 17
 FLUSH = 300_000
 
 #: Names of groups, by kind: each may stand for another of its row (fixed values).
@@ -263,9 +263,9 @@ def _score(shared, at: int):
                 for w in words(text):
                     f = cache.get(w)
                     if f is None:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        f = cache[w] = tuple(known[x] for x in of_word(w) if x in known)
+                        f = tuple(known[x] for x in of_word(w) if x in known)
+                        if len(cache) < CACHE_WORDS:
+                            cache[w] = f
                     if f:
                         hits.update(f)
                 scores.append(model.bias + sum(weights[i] for i in sorted(hits)))
