@@ -117,8 +117,9 @@ def resize_nearest(mask: DataFrame, h_from: int, w_from: int, h_to: int, w_to: i
     """Nearest-neighbour resize: each target pixel takes the source pixel at floor(i * from / to)."""
 
     def span(i: str, n_from: int, n_to: int) -> Column:
-        low = F.ceil(F.col(i) * n_to / F.lit(float(n_from)))
-        high = F.ceil((F.col(i) + 1) * n_to / F.lit(float(n_from))) - 1
+        at = F.col(i).cast("long")  # as an int, at * n_to overflows beyond 53,510 rows made three quarters
+        low = F.ceil(at * n_to / F.lit(float(n_from)))
+        high = F.ceil((at + 1) * n_to / F.lit(float(n_from))) - 1
         return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
 
     rows = mask.withColumn("_r", F.explode(span("r", h_from, h_to))).withColumn("_c", F.explode(span("c", w_from, w_to)))
