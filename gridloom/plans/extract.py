@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import pixel_to_world
@@ -17,8 +17,9 @@ Predictor = Callable[[DataFrame], DataFrame]
 def tile_range(rows: DataFrame) -> DataFrame:
     """The default predictor: values between the extremes of their tile. Others are functions, or wrap
     ``pyspark.ml.functions.predict_batch_udf``."""
-    ends = rows.groupBy("raster_id", "tile_id").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    return rows.join(ends, ["raster_id", "tile_id"]).withColumn("p", stretch.stretch(F.col("v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    tile = Window.partitionBy("raster_id", "tile_id")
+    ends = rows.withColumns({"_lo": F.min("v").over(tile), "_hi": F.max("v").over(tile)})
+    return ends.withColumn("p", stretch.stretch(F.col("v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 PREDICTORS: dict[str, Predictor] = {"tile_range": tile_range}
@@ -29,23 +30,24 @@ def predictor(name: str) -> Predictor:
 
 
 def tiled(raster: DataFrame, scenes: DataFrame, tile: int, overlap: int) -> DataFrame:
-    """Pixels with each tile that covers them: a pixel finds its tiles by arithmetic, not by a range join."""
+    """Pixels with each tile that covers them: a pixel finds its tiles by arithmetic, not by a range join.
+
+    Tile k of an axis begins at k * stride, the last one at the last place where it fits. The tiles over a pixel follow
+    each other, so two numbers give them, whatever the size of the scene."""
     stride = max(1, tile - overlap)
     sized = raster.join(scenes.select("raster_id", "width", "height"), "raster_id")
 
-    def offsets(at: str, size: str):
-        starts = tiling.clamped_offsets(F.col(size), tile, overlap)
-        near = F.sequence(F.greatest(F.ceil((F.col(at) - tile + 1) / stride), F.lit(0)) * stride, F.col(at), F.lit(stride))
+    def covering(at: str, size: str):
         last = F.greatest(F.col(size) - tile, F.lit(0))
-        inside = F.array_distinct(F.transform(F.concat(F.transform(near, lambda x: x.cast("int")), F.array(last)), lambda x: F.least(x, last)))
-        return F.filter(inside, lambda x: (x <= F.col(at)) & (x + tile > F.col(at))), F.size(starts), starts
-
-    rows, _, _ = offsets("r", "height")
-    cols, across, starts = offsets("c", "width")
-    e = sized.withColumns({"_rows": rows, "_cols": cols}).withColumn("row_off", F.explode("_rows")).withColumn("col_off", F.explode("_cols"))
-    down = tiling.clamped_offsets(F.col("height"), tile, overlap)
-    number = (F.array_position(down, F.col("row_off")) - 1) * across + F.array_position(starts, F.col("col_off")) - 1
-    return e.select("raster_id", number.cast("int").alias("tile_id"), "r", "c", "row_off", "col_off", "v")
+        end = F.ceil(last / stride).cast("int")
+        first = F.least(F.greatest(F.ceil((F.col(at) - tile + 1) / stride).cast("int"), F.lit(0)), end)
+        return F.sequence(first, F.when(F.col(at) < last, F.floor(F.col(at) / stride).cast("int")).otherwise(end)), last, end
+
+    (rows, low, _), (cols, right, across) = covering("r", "height"), covering("c", "width")
+    e = sized.withColumn("_i", F.explode(rows)).withColumn("_j", F.explode(cols))
+    e = e.withColumns({"row_off": F.least(F.col("_i") * stride, low), "col_off": F.least(F.col("_j") * stride, right), "tile_id": (F.col("_i") * (across + 1) + F.col("_j")).cast("int")})
+    inside = (F.col("r") < F.col("row_off") + tile) & (F.col("c") < F.col("col_off") + tile)
+    return e.filter(inside).select("raster_id", "tile_id", "r", "c", "row_off", "col_off", "v")
 
 
 def probability(raster: DataFrame, scenes: DataFrame, tile: int = 512, overlap: int = 128, predict: Predictor = tile_range, uniform: bool = False) -> DataFrame:
