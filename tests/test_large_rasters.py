@@ -33,6 +33,12 @@ def test_tiles_of_a_pixel_do_not_depend_on_the_height(spark):
     assert set(p) == set(starts) and p[0] == 0.0 and 0 < p[1] < 1
 
 
+def test_uniform_blend_of_a_tall_scene(spark):
+    rows, scene, _ = tall(spark)
+    p = {x["r"]: x["p"] for x in extract.probability(rows, scene, 4, 3, uniform=True).collect()}
+    assert p == {0: 0.0, 1: 0.5, 2_000_000_000: 0.0, 2**31 - 2: 0.0}
+
+
 @pytest.mark.parametrize("tile, overlap", [(32, 8), (32, 0), (5, 4), (7, 2)])
 def test_tiles_of_pixels_are_those_of_the_plan(spark, tile, overlap):
     sizes = [(1, 1), (3, 40), (31, 33), (32, 56), (57, 64), (80, 20)]
