@@ -15,6 +15,13 @@ def _int(x) -> Column:
     return x if isinstance(x, Column) else F.lit(int(x))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that each make much work, dealt out to as many tasks as a shuffle has: a small file is one task else.
+
+    The number is given, so that adaptive execution does not join the small partitions again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clamped_offsets(size, tile: int, overlap: int) -> Column:
     """Starts every ``tile - overlap`` pixels (1 at least), pulled back so that tiles stay inside; no start twice."""
     n, stride = _int(size), max(1, tile - overlap)

@@ -5,15 +5,17 @@ Random choices come from hashes of an item's id and a seed, so reruns and lost t
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.tiling import reflect
+from gridloom.operators.tiling import reflect, spread
 
 #: Colour means and deviations that pretrained networks expect (fixed values).
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -21,6 +23,12 @@ MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 SIDES, PADDED = tuple(range(7, 22, 2)), 21
 FAMILIES = (("iso", 0.45), ("aniso", 0.25), ("generalized_iso", 0.12), ("generalized_aniso", 0.03), ("plateau_iso", 0.12), ("plateau_aniso", 0.03))
 SIGMA, BETA_G, BETA_P, SINC = (0.2, 3.0), (0.5, 4.0), (1.0, 2.0), 0.1
+#: Kinds of kernels by their formulas, and the shares of the families added up.
+LOW_PASS, GAUSS, GENERALIZED, PLATEAU = range(4)
+_UP_TO = np.cumsum([p for _, p in FAMILIES])
+_UP_TO = (_UP_TO / _UP_TO[-1]).tolist()
+#: Items whose kernels are formed and sent together, 5 MB of numbers.
+ITEMS_AT_ONCE = 512
 
 
 def draw(item: str, seed: int, n: Column | int) -> Column:
@@ -76,53 +84,92 @@ def normalised(pixels: DataFrame, mean=MEAN, std=STD) -> DataFrame:
 
 def blur_kernel(rng: np.random.Generator, sinc: float = SINC) -> np.ndarray:
     """A kernel of a random family, side and shape, in the middle of zeros; its sum is 1."""
-    side = int(rng.choice(SIDES))
-    y, x = np.indices((side, side)) - side // 2
+    return formed([drawn(rng, sinc)])[0]
+
+
+def drawn(rng: np.random.Generator, sinc: float = SINC) -> tuple[float, ...]:
+    """What makes a kernel of a random family: side, kind, exponent (of a low pass its cut), two sigmas, cosine and sine of the turn."""
+    side = SIDES[rng.integers(len(SIDES))]
     if rng.random() < sinc:
-        k = low_pass(rng.uniform(math.pi / 3 if side < 13 else math.pi / 5, math.pi), side)
-    else:
-        family = FAMILIES[rng.choice(len(FAMILIES), p=[p for _, p in FAMILIES])][0]
-        sx, turn = rng.uniform(*SIGMA), 0.0
-        sy = sx
-        if family.endswith("aniso"):
-            sy, turn = rng.uniform(*SIGMA), rng.uniform(-math.pi, math.pi)
-        u, v = x * math.cos(turn) + y * math.sin(turn), -x * math.sin(turn) + y * math.cos(turn)
-        square = (u / sx) ** 2 + (v / sy) ** 2
-        if family.startswith("plateau"):
-            k = 1 / (1 + square ** rng.uniform(*BETA_P))
+        return side, LOW_PASS, _between(rng, math.pi / 3 if side < 13 else math.pi / 5, math.pi), 1.0, 1.0, 1.0, 0.0
+    family = FAMILIES[bisect.bisect_right(_UP_TO, rng.random())][0]
+    sx, turn = _between(rng, *SIGMA), 0.0
+    sy = sx
+    if family.endswith("aniso"):
+        sy, turn = _between(rng, *SIGMA), _between(rng, -math.pi, math.pi)
+    kind = PLATEAU if family.startswith("plateau") else GENERALIZED if family.startswith("generalized") else GAUSS
+    power = 1.0 if kind == GAUSS else _between(rng, *(BETA_P if kind == PLATEAU else BETA_G))
+    return side, kind, power, sx, sy, math.cos(turn), math.sin(turn)
+
+
+def _between(rng: np.random.Generator, low: float, high: float) -> float:
+    """rng.uniform(low, high) without its checks."""
+    return low + (high - low) * rng.random()
+
+
+def formed(shapes: list[tuple[float, ...]]) -> np.ndarray:
+    """The kernels of shapes as :func:`drawn`, each in the middle of zeros with the sum 1. Those of one side and kind are
+    formed at once."""
+    table = np.array(shapes, dtype=float).reshape(-1, 7)
+    out = np.zeros((len(table), PADDED, PADDED))
+    for side, kind in sorted({(int(a), int(b)) for a, b in table[:, :2]}):
+        at = np.flatnonzero((table[:, 0] == side) & (table[:, 1] == kind))
+        power, sx, sy, cos, sin = table[at, 2:].T[:, :, None, None]
+        if kind == LOW_PASS:
+            k = low_passes(power.ravel(), side)
         else:
-            k = np.exp(-0.5 * square ** (rng.uniform(*BETA_G) if family.startswith("generalized") else 1.0))
-        k /= k.sum()
-    return np.pad(k, (PADDED - side) // 2)
+            y, x = np.indices((side, side)) - side // 2
+            u, v = x * cos + y * sin, -x * sin + y * cos
+            square = (u / sx) ** 2 + (v / sy) ** 2
+            if kind == PLATEAU:
+                k = 1 / (1 + square**power)
+            else:
+                k = np.exp(-0.5 * (square if kind == GAUSS else square**power))
+            k /= k.reshape(len(at), -1).sum(1)[:, None, None]
+        edge = (PADDED - side) // 2
+        out[at, edge : edge + side, edge : edge + side] = k
+    return out
 
 
 def low_pass(cut: float, side: int) -> np.ndarray:
     """A circular low-pass filter: cut * J1(cut * d) / (2 pi d), with the Bessel function as the integral that defines it."""
+    return low_passes(np.array([cut]), side)[0]
+
+
+def low_passes(cuts: np.ndarray, side: int) -> np.ndarray:
+    """Low-pass filters of several cuts. J1(x) is the mean of sin(t) sin(x sin(t)) over a quarter turn; it is formed once
+    for each distance, at as many places as leave no error at cuts up to pi but that of rounding."""
     y, x = np.indices((side, side)) - side // 2
-    d = np.hypot(x, y)
-    t = (np.arange(256) + 0.5) * math.pi / 256
-    j1 = np.cos(t[:, None, None] - cut * d * np.sin(t)[:, None, None]).mean(0)
-    k = np.where(d > 0, cut * j1 / (2 * math.pi * np.where(d > 0, d, 1)), cut * cut / (4 * math.pi))
-    return k / k.sum()
+    d, place = np.unique(np.hypot(x, y).ravel(), return_inverse=True)
+    n = side + 8
+    t = np.sin((np.arange(n) + 0.5) * math.pi / (2 * n))
+    cut = cuts[:, None]
+    j1 = np.sin((cut * d)[:, :, None] * t) @ t / n
+    k = np.where(d > 0, cut * j1 / (2 * math.pi * np.where(d > 0, d, 1)), cut * cut / (4 * math.pi))[:, place]
+    return (k / k.sum(1)[:, None]).reshape(-1, side, side)
 
 
 def kernels(items: DataFrame, id_col: str = "raster_id", seed: int = 0) -> DataFrame:
-    """(item, stage, kernel): three kernels of an item (two blurs, a final low pass or nothing), row by row."""
+    """(item, stage, kernel): three kernels of an item (two blurs, a final low pass or nothing), row by row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A small file of items is much work, so items are dealt out to all tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in batch["item"]:
-                rng = np.random.default_rng([seed, int(i) & 0xFFFFFFFF])
-                last = np.zeros((PADDED, PADDED))
-                last[PADDED // 2, PADDED // 2] = 1.0
-                if rng.random() < 0.8:
-                    side = int(rng.choice(SIDES))
-                    last = np.pad(low_pass(rng.uniform(math.pi / 3, math.pi), side), (PADDED - side) // 2)
-                out += [(i, 1, blur_kernel(rng).ravel()), (i, 2, blur_kernel(rng).ravel()), (i, 3, last.ravel())]
-            yield pd.DataFrame(out, columns=["item", "stage", "kernel"])
-
-    return items.select(F.col(id_col).cast("long").alias("item")).mapInPandas(run, "item long, stage int, kernel array<double>")
+            for start in range(0, batch.num_rows, ITEMS_AT_ONCE):
+                ids, shapes = batch.column(0).slice(start, ITEMS_AT_ONCE).to_pylist(), []
+                for i in ids:
+                    rng = np.random.default_rng([seed, i & 0xFFFFFFFF])
+                    last = (1, GAUSS, 1.0, 1.0, 1.0, 1.0, 0.0)
+                    if rng.random() < 0.8:
+                        side = SIDES[rng.integers(len(SIDES))]
+                        last = (side, LOW_PASS, _between(rng, math.pi / 3, math.pi), 1.0, 1.0, 1.0, 0.0)
+                    shapes += [drawn(rng), drawn(rng), last]
+                values = pa.array(formed(shapes).ravel())
+                kernel = pa.ListArray.from_arrays(pa.array(np.arange(len(shapes) + 1, dtype="i4") * PADDED**2), values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, 3)), pa.array(np.tile([1, 2, 3], len(ids)).astype("i4")), kernel], ["item", "stage", "kernel"])
+
+    return spread(items.select(F.col(id_col).cast("long").alias("item"))).mapInArrow(run, "item long, stage int, kernel array<double>")
 
 
 def degraded(images: DataFrame, scale: int = 4, seed: int = 0) -> DataFrame:
