@@ -132,7 +132,7 @@ def batches(tiles: DataFrame, size: int = 4) -> DataFrame:
 
 def training_patches(scenes: DataFrame, patch: int = 128, stride: int = 32) -> DataFrame:
     """Patches with a fixed stride, each also mirrored left to right."""
-    return sliding(scenes, patch, stride).withColumn("flipped", F.explode(F.array(F.lit(False), F.lit(True))))
+    return sliding(spread(scenes.select("raster_id", "width", "height")), patch, stride).withColumn("flipped", F.explode(F.array(F.lit(False), F.lit(True))))
 
 
 def flip_columns(pixels: DataFrame, width: Column | int) -> DataFrame:
